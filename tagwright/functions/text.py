@@ -6,7 +6,7 @@ characters are spelled as Unicode classes because Java's ``\\w`` covers ASCII on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,12 @@ UNITS = r"(\p{Nd}+)[\s-]([a-z]{2})(\s)"
 NO_DESCRIPTION = "no description yet"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, both arrays, with ``value`` computed once per row. An expression used inside a
+    lambda is otherwise computed again for every element."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 # ---- categories -------------------------------------------------------------------------------
 
 def split_category(path: Column, levels: int = 3) -> list[Column]:
@@ -38,11 +44,14 @@ def split_category4(path: Column) -> list[Column]:
 
 def category_paths(path: Column) -> Column:
     """Lower-case, drop all whitespace, list every prefix: ``a``, ``a/b``, ``a/b/c``."""
-    parts = F.split(F.regexp_replace(F.lower(path), r"[\s\p{Z}]+", ""), "/", -1)
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")
-    )
-    return F.filter(prefixes, lambda p: p != "")
+    levels = F.split(F.regexp_replace(F.lower(path), r"[\s\p{Z}]+", ""), "/", -1)
+
+    def prefixes(parts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")
+        )
+
+    return F.filter(bound(levels, prefixes), lambda p: p != "")
 
 
 # ---- words ------------------------------------------------------------------------------------
@@ -74,8 +83,7 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a space."""
+def _ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
     grams = F.transform(
@@ -85,8 +93,14 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, joined by a space."""
+    return bound(tokens, lambda t: _ngrams(t, n))
+
+
 def ngrams_upto(tokens: Column, n: int) -> Column:
-    return F.concat(*[ngrams(tokens, i) for i in range(1, n + 1)])
+    """All runs of 1 to n tokens."""
+    return bound(tokens, lambda t: F.concat(*[_ngrams(t, i) for i in range(1, n + 1)]))
 
 
 def bucket(gram: Column, size: int) -> Column:

@@ -116,16 +116,19 @@ def onehot_codes(has_brand: Column, shipping: Column, condition: Column) -> list
 
 # ---- the long table ---------------------------------------------------------------------------
 
+def _cells(block: Block) -> Column:
+    return F.transform(
+        block.emit,
+        lambda x: F.struct(
+            F.lit(block.name).alias("block"), x["feature"].alias("feature"), x["value"].alias("value")
+        ),
+    )
+
+
 def stack_blocks(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
     """All blocks of every listing. Rows are placed by listing before the explode, so what is
     shuffled is the text and not the n-grams, and the sums and norms below need no further shuffle."""
-    cells = [
-        F.transform(
-            b.emit,
-            lambda x, b=b: F.struct(F.lit(b.name).alias("block"), x["feature"].alias("feature"), x["value"].alias("value")),
-        )
-        for b in blocks
-    ]
+    cells = [_cells(b) for b in blocks]
     placed = df.repartition("listing_id")
     long = placed.select("listing_id", F.explode(F.concat(*cells)).alias("_c")).select("listing_id", "_c.*")
     largest = [b.name for b in blocks if b.combine == "max"]

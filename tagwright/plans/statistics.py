@@ -119,7 +119,7 @@ def group_mean(spark: SparkSession, d: str) -> DataFrame:
 @query(
     over(
         "train",
-        """SELECT category_name, round(avg(price), 4) AS raw_mean,
+        """SELECT category_name, round(ln(avg(price)), 6) AS log_of_raw_mean,
              round((sum(log_price) + (SELECT avg(log_price) FROM train) * 10) / (count(*) + 10), 6) AS cat_mean, count(*) AS n
            FROM train GROUP BY 1""",
     )
@@ -127,9 +127,9 @@ def group_mean(spark: SparkSession, d: str) -> DataFrame:
 def smoothed_mean(spark: SparkSession, d: str) -> DataFrame:
     train = inputs.train(spark, d)
     smooth = stats.smoothed_mean(train, "category_name", "log_price", "cat_mean", alpha=10.0)
-    raw = stats.group_mean(train, "category_name", "price", "raw_mean").drop("n")
+    raw = stats.group_mean(train, "category_name", "price", "raw_mean").drop("n").withColumn("log_of_raw_mean", F.log("raw_mean"))
     both = smooth.join(raw, "category_name")
-    return both.select("category_name", *rounded("raw_mean", digits=4), *rounded("cat_mean"), "n")
+    return both.select("category_name", *rounded("log_of_raw_mean", "cat_mean"), "n")
 
 
 @query(over("tagged", "SELECT brand_name, count(*) AS n FROM tagged GROUP BY 1"))
