@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagwright.operators.lookup import lookup_join
+from tagwright.operators.lookup import fits, lookup_join
 from tagwright.operators.stats import ENCODED, group_means, min_max, scaled
 from tagwright.sources.shared import publish
 
@@ -19,14 +19,18 @@ def text_length(df: DataFrame) -> DataFrame:
     return df.withColumns({"len_desc": F.length("item_description"), "len_name": F.length("name")})
 
 
-def join_left_stats(df: DataFrame, means: DataFrame, keys: dict[str, str] = ENCODED) -> DataFrame:
-    """Attach the mean of every key; keys not in the fitted table give null."""
+def join_left_stats(
+    df: DataFrame, means: DataFrame, keys: dict[str, str] = ENCODED, small: bool | None = None
+) -> DataFrame:
+    """Attach the mean of every key; keys not in the fitted table give null. The table is measured
+    once for all keys: if it fits as a whole, so does every part of it."""
+    small = fits(means) if small is None else small
     for key, name in keys.items():
         one = means.where(F.col("feature") == key).select(
             F.col("key").alias("_key"), F.col("mean").alias(name), F.col("n").alias("_n")
         )
         keyed = df.withColumn("_key", F.col(key).cast("string"))
-        df = lookup_join(keyed, one, "_key", weight="_n").drop("_key", "_n")
+        df = lookup_join(keyed, one, "_key", weight="_n", small=small or None).drop("_key", "_n")
     return df
 
 
@@ -48,13 +52,14 @@ class DenseEncoding:
     means: DataFrame
     ranges: DataFrame
     unseen: str = "zero"
+    small: bool | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = self.unscaled(df)
         return minmax_scale(out, self.ranges, DENSE)
 
     def unscaled(self, df: DataFrame) -> DataFrame:
-        joined = join_left_stats(df, self.means)
+        joined = join_left_stats(df, self.means, small=self.small)
         fill = 0.0 if self.unseen == "zero" else self.ranges.select("overall").scalar()
         return text_length(fill_unseen(joined, list(ENCODED.values()), fill))
 
@@ -65,10 +70,11 @@ def fit_dense(train: DataFrame, target: str = "log_price", unseen: str = "zero")
     Two passes over the rows: one for all four mean tables, one for the ranges.
     """
     means = publish(group_means(train, target), "means")
-    joined = text_length(join_left_stats(train, means))
+    small = fits(means)
+    joined = text_length(join_left_stats(train, means, small=small))
     ranges = min_max(joined, DENSE)
     overall = train.agg(F.avg(target)).scalar()
-    return DenseEncoding(means, publish(ranges.withColumn("overall", overall), "ranges"), unseen)
+    return DenseEncoding(means, publish(ranges.withColumn("overall", overall), "ranges"), unseen, small)
 
 
 def standardize(df: DataFrame, moments: DataFrame, column: str, name: str) -> DataFrame:

@@ -35,6 +35,11 @@ def measured_bytes(table: DataFrame) -> int:
     return int(table.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long")).first()[0])
 
 
+def fits(table: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the table may be broadcast."""
+    return measured_bytes(table) <= limit_bytes
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -42,6 +47,7 @@ def lookup_join(
     how: str = "left",
     weight: str | None = None,
     limit_bytes: int = BROADCAST_BYTES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a fitted ``table`` that holds each key once.
 
@@ -51,9 +57,11 @@ def lookup_join(
     answered from a broadcast of bounded size and their rows carry a spread key through the
     shuffle: a key with a third of all rows then ends up in thousands of pieces, and no key left
     for the shuffle can be heavy.
+
+    ``small`` is the answer of an earlier ``fits`` for this table, to save measuring it again.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if measured_bytes(table) <= limit_bytes:
+    if fits(table, limit_bytes) if small is None else small:
         keep = table.select(*on) if how == "left_semi" else table
         return rows.join(F.broadcast(keep), on, how)
     if weight is None:
