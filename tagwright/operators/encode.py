@@ -39,10 +39,15 @@ def fill_unseen(df: DataFrame, names: Sequence[str], value: Column | float = 0.0
     return df.withColumns({c: F.coalesce(F.col(c), fill) for c in names})
 
 
+def one_row(table: DataFrame) -> Column:
+    """A one-row table as a struct; used in many places, it is still computed once."""
+    return table.select(F.struct(*table.columns)).scalar()
+
+
 def minmax_scale(df: DataFrame, ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``ranges`` is the single row of ``min_max``: joined by scalar subqueries, never collected."""
-    bounds = {c: (ranges.select(f"{c}_min").scalar(), ranges.select(f"{c}_max").scalar()) for c in columns}
-    return df.withColumns({c: scaled(F.col(c), lo, hi) for c, (lo, hi) in bounds.items()})
+    """``ranges`` is the single row of ``min_max``: one scalar subquery, never collected."""
+    row = one_row(ranges)
+    return df.withColumns({c: scaled(F.col(c), row[f"{c}_min"], row[f"{c}_max"]) for c in columns})
 
 
 @dataclass
@@ -78,13 +83,13 @@ def fit_dense(train: DataFrame, target: str = "log_price", unseen: str = "zero")
 
 
 def standardize(df: DataFrame, moments: DataFrame, column: str, name: str) -> DataFrame:
-    mean, std = moments.select("mean").scalar(), moments.select("std").scalar()
-    return df.withColumn(name, (F.col(column) - mean) / std)
+    row = one_row(moments)
+    return df.withColumn(name, (F.col(column) - row["mean"]) / row["std"])
 
 
 def unstandardize(df: DataFrame, moments: DataFrame, column: str, name: str) -> DataFrame:
-    mean, std = moments.select("mean").scalar(), moments.select("std").scalar()
-    return df.withColumn(name, F.col(column) * std + mean)
+    row = one_row(moments)
+    return df.withColumn(name, F.col(column) * row["std"] + row["mean"])
 
 
 def hash_percent(key: Column, seed: int = 100) -> Column:

@@ -18,6 +18,15 @@ HOT_KEYS = 1000
 SPREAD = 4096
 
 
+def by_listing(df: DataFrame) -> DataFrame:
+    """Rows placed by ``listing_id`` in the session's full number of shuffle partitions.
+
+    The number is given explicitly so that adaptive execution does not merge partitions by the size
+    of the texts: what follows turns each row into hundreds.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "listing_id")
+
+
 def _width(field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):

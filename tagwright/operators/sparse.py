@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tagwright.functions import text as tx
 from tagwright.functions.words import SHORT_STOP_WORDS
-from tagwright.operators.lookup import dense_index, lookup_join
+from tagwright.operators.lookup import by_listing, dense_index, lookup_join
 from tagwright.sources.shared import fresh_path, publish
 
 NOT_SHOWN = "<NOT_SHOWN>"
@@ -129,7 +129,7 @@ def stack_blocks(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
     """All blocks of every listing. Rows are placed by listing before the explode, so what is
     shuffled is the text and not the n-grams, and the sums and norms below need no further shuffle."""
     cells = [_cells(b) for b in blocks]
-    placed = df.repartition("listing_id")
+    placed = by_listing(df)
     long = placed.select("listing_id", F.explode(F.concat(*cells)).alias("_c")).select("listing_id", "_c.*")
     largest = [b.name for b in blocks if b.combine == "max"]
     counted = long.groupBy("listing_id", *KEY).agg(F.sum("value").alias("_sum"), F.max("value").alias("_max"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagwright.operators.lookup import dense_index, lookup_join
+from tagwright.operators.lookup import dense_index, fits, lookup_join
 from tagwright.sources.shared import publish
 
 ENCODED = {
@@ -26,17 +26,21 @@ def group_mean(df: DataFrame, key: str, target: str, name: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(target).alias(name), F.count(F.lit(1)).alias("n"))
 
 
-def group_means(df: DataFrame, target: str, keys: Sequence[str] = tuple(ENCODED)) -> DataFrame:
-    """The means for several keys from one scan and one shuffle: ``(feature, key, mean, n)``."""
-    named = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(target).alias("_y"))
-    grouped = named.groupingSets([[k] for k in keys], *keys).agg(
-        F.avg("_y").alias("mean"),
-        F.count(F.lit(1)).alias("n"),
-        *[F.grouping(k).alias(f"_g_{k}") for k in keys],
+def per_key(df: DataFrame, keys: Sequence[str], *measures: Column) -> DataFrame:
+    """Measures for several keys from one scan and one shuffle: ``(feature, key, ...)``."""
+    grouped = df.groupingSets([[k] for k in keys], *keys).agg(
+        *measures, *[F.grouping(k).alias(f"_g_{k}") for k in keys]
     )
     feature = F.coalesce(*[F.when(F.col(f"_g_{k}") == 0, F.lit(k)) for k in keys])
     key = F.coalesce(*[F.when(F.col(f"_g_{k}") == 0, F.col(k)) for k in keys])
-    return grouped.select(feature.alias("feature"), key.alias("key"), "mean", "n")
+    rest = [c for c in grouped.columns if c not in keys and not c.startswith("_g_")]
+    return grouped.select(feature.alias("feature"), key.alias("key"), *rest)
+
+
+def group_means(df: DataFrame, target: str, keys: Sequence[str] = tuple(ENCODED)) -> DataFrame:
+    """The means for several keys: ``(feature, key, mean, n)``."""
+    named = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(target).alias("_y"))
+    return per_key(named, keys, F.avg("_y").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def smoothed_mean(df: DataFrame, key: str, target: str, name: str, alpha: float = 0.0) -> DataFrame:
@@ -57,19 +61,31 @@ def top_values(df: DataFrame, column: str, top: int, skip: str = "missing") -> D
     return counted.orderBy(F.desc("n"), F.asc(column)).limit(top)
 
 
-def keep_values(df: DataFrame, kept: DataFrame, column: str, other: str = "missing") -> DataFrame:
+def keep_values(
+    df: DataFrame, kept: DataFrame, column: str, other: str = "missing", small: bool | None = None
+) -> DataFrame:
     """Values outside the kept set become ``other``."""
     hits = kept.select(column, F.lit(True).alias("_hit"))
-    joined = lookup_join(df, hits, column)
+    joined = lookup_join(df, hits, column, small=small)
     return joined.withColumn(column, F.when(F.col("_hit"), F.col(column)).otherwise(other)).drop("_hit")
 
 
-def topk_keep(df: DataFrame, tops: dict[str, int], fit_on: DataFrame | None = None) -> DataFrame:
-    """Cut several columns to their most frequent values, counted on ``fit_on``."""
-    source = df if fit_on is None else fit_on
-    for column, top in tops.items():
-        kept = publish(top_values(source, column, top), f"top-{column}")
-        df = keep_values(df, kept, column)
+def topk_keep(
+    df: DataFrame, tops: dict[str, int], fit_on: DataFrame | None = None, skip: str = "missing"
+) -> DataFrame:
+    """Cut several columns to their most frequent values, counted on ``fit_on`` in one pass."""
+    source = (df if fit_on is None else fit_on).select(*tops)
+    counts = publish(per_key(source, list(tops), F.count(F.lit(1)).alias("n")), "counts")
+    wanted = counts.where(F.col("key").isNotNull() & (F.col("key") != skip))
+    best = [
+        wanted.where(F.col("feature") == column).orderBy(F.desc("n"), F.asc("key")).limit(top)
+        for column, top in tops.items()
+    ]
+    kept = publish(union_splits(*best), "tops")
+    small = fits(kept) or None
+    for column in tops:
+        one = kept.where(F.col("feature") == column).select(F.col("key").alias(column))
+        df = keep_values(df, one, column, skip, small)
     return df
 
 

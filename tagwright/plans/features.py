@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagwright.functions import text as tx
 from tagwright.operators import clean, porter, sparse
 from tagwright.operators import vocab as vo
+from tagwright.operators.lookup import by_listing
 from tagwright.plans import inputs
 from tagwright.plans.cleaning import WORD_VECTORS
 from tagwright.plans.oracles import (
@@ -196,7 +197,7 @@ OUT = "SELECT listing_id, block, feature, round(value, 6) AS value FROM features
     )
 )
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = doc_tokens(spark, d).repartition("listing_id")
+    rows = by_listing(doc_tokens(spark, d))
 
 
     def numbered(n: int) -> Column:
