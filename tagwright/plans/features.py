@@ -302,7 +302,7 @@ def whole_values(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def count_whole_value(spark: SparkSession, d: str) -> DataFrame:
-    features = whole_values(spark, d)
+    features = publish(whole_values(spark, d), "features")
     kept = publish(sparse.kept_features(sparse.col_nnz(features), 2), "kept")
     return out_features(sparse.df_filter(features, kept))
 
@@ -391,7 +391,7 @@ KEPT_DOCS = """SELECT feature FROM features GROUP BY 1
     )
 )
 def df_filter(spark: SparkSession, d: str) -> DataFrame:
-    features = hashed_docs(spark, d)
+    features = publish(hashed_docs(spark, d), "features")
     nnz = sparse.col_nnz(features)
     kept = sparse.kept_features(nnz, 2, 0.5, fixtures.documents(spark, d))
     return out_features(sparse.df_filter(features, publish(kept, "kept")))
@@ -403,7 +403,8 @@ STACKED = f"""SELECT * FROM bag
 
 
 def document_blocks(spark: SparkSession, d: str) -> DataFrame:
-    docs = fixtures.table(spark, d, "documents").select(
+    table = fixtures.spread(fixtures.table(spark, d, "documents"), "doc_id")
+    docs = table.select(
         F.col("doc_id").cast("string").alias("listing_id"), F.lower("text").alias("text"), "lang", "source"
     )
     return sparse.stack_blocks(
@@ -448,7 +449,7 @@ def l2_norm(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    features = document_blocks(spark, d)
+    features = publish(document_blocks(spark, d), "features")
     nnz = publish(sparse.col_nnz(features), "nnz")
     return out_features(sparse.tfidf(features, nnz, fixtures.documents(spark, d)))
 
@@ -488,6 +489,6 @@ def feature_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def to_vectors(spark: SparkSession, d: str) -> DataFrame:
-    features = document_blocks(spark, d)
+    features = publish(document_blocks(spark, d), "features")
     index = publish(sparse.feature_index(sparse.kept_features(sparse.col_nnz(features), 2)), "index")
     return sparse.to_vectors(features, index, fixtures.documents(spark, d))

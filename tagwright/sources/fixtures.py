@@ -13,12 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than the session has cores (a file of one
+    row group is one split however many cores wait). A scan with enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per line item; the SQL twin is ``plans.oracles.LISTINGS``.
 
     No join is hinted: the optimizer knows each table's file size and broadcasts what is small.
     """
-    item = table(spark, sf_dir, "lineitem")
+    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -75,7 +82,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in the shape of long descriptions: ``(listing_id, item_description)``."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("listing_id"), F.col("text").alias("item_description")
     )
 
@@ -88,7 +95,7 @@ def probe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every letter word of the documents."""
-    texts = table(spark, sf_dir, "documents")
+    texts = spread(table(spark, sf_dir, "documents"), "doc_id")
     return texts.select(F.explode(letter_words(F.col("text"))).alias("word"))
 
 
