@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tagwright.functions import text as tx
 from tagwright.functions.words import SHORT_STOP_WORDS
 from tagwright.operators.lookup import by_listing, dense_index, lookup_join
-from tagwright.sources.shared import fresh_path, publish
+from tagwright.sources.shared import fresh_path
 
 NOT_SHOWN = "<NOT_SHOWN>"
 KEY = ["block", "feature"]
@@ -200,6 +200,16 @@ def feature_intersect(left: DataFrame, right: DataFrame, min_df: int = 1) -> Dat
     return a.join(b, KEY)
 
 
+def split_counts(features: DataFrame, rows: DataFrame, min_df: int = 1) -> DataFrame:
+    """``feature_intersect`` of the train and test rows of one long table, from a single pass:
+    ``(block, feature, df, df_right)``. ``rows`` carries ``split`` per listing."""
+    tagged = features.join(rows.select("listing_id", "split"), "listing_id")
+    counts = tagged.where(F.col("value") != 0).groupBy(*KEY).agg(
+        F.count_if(F.col("split") == "train").alias("df"), F.count_if(F.col("split") == "test").alias("df_right")
+    )
+    return counts.where((F.col("df") >= min_df) & (F.col("df_right") >= min_df))
+
+
 def tfidf(features: DataFrame, nnz: DataFrame, rows: DataFrame) -> DataFrame:
     """``value * (ln((1 + n) / (1 + df)) + 1)`` over all blocks, then each listing to length one."""
     n = rows.agg(F.count(F.lit(1))).scalar()

@@ -25,8 +25,7 @@ def ridge_rows(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned listings with filled brands, cross keys and enriched texts."""
     unified = inputs.unified(spark, d)
     brands = publish(match.brand_dictionary(unified), "brands")
-    rows = clean.cross_keys(clean.with_categories4(match.brand_fill(unified, brands)))
-    return clean.enrich_name_desc(rows).withColumn("log_price", clean.log_price(F.col("price")))
+    return clean.enrich_name_desc(clean.cross_keys(clean.with_categories4(match.brand_fill(unified, brands))))
 
 
 def ridge_blocks() -> list[sparse.Block]:
@@ -43,8 +42,7 @@ def ridge_blocks() -> list[sparse.Block]:
 
 def linear_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = clean.fill_missing_tag(clean.with_categories(inputs.priced(spark, d)))
-    named = rows.fillna("missing", ["name"])
-    return named.withColumn("log_price", clean.log_price(F.col("price")))
+    return rows.fillna("missing", ["name"])
 
 
 def linear_blocks() -> list[sparse.Block]:
@@ -57,21 +55,26 @@ def linear_blocks() -> list[sparse.Block]:
     ]
 
 
-def model_vectors(rows: DataFrame, blocks: list[sparse.Block], tfidf: bool) -> DataFrame:
+def model_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Split and label per listing, written once, so the text cleaning is not repeated for them."""
+    rows = inputs.priced(spark, d).withColumn("log_price", clean.log_price(F.col("price")))
+    return publish(rows.select("listing_id", "split", "log_price"), "tags")
+
+
+def model_vectors(
+    rows: DataFrame, tags: DataFrame, blocks: list[sparse.Block], tfidf: bool
+) -> DataFrame:
     """Vectors ``(listing_id, split, log_price, features)`` over features both splits have.
 
     The long table is written once: its counts, weights and vectors all start from it.
     """
-    tags = rows.select("listing_id", "split", "log_price")
     features = publish(sparse.stack_blocks(rows, blocks), "features")
     least = {b.name: b.min_df for b in blocks}
     kept = publish(sparse.kept_features(sparse.col_nnz(features), least), "kept")
     features = sparse.df_filter(features, kept)
     if tfidf:
         features = sparse.tfidf(features, kept, tags)
-    split = features.join(tags.select("listing_id", "split"), "listing_id")
-    sides = [sparse.col_nnz(split.where(side)) for side in (is_train(), is_test())]
-    index = publish(sparse.feature_index(sparse.feature_intersect(*sides)), "index")
+    index = publish(sparse.feature_index(sparse.split_counts(features, tags)), "index")
     return sparse.to_vectors(features, index, tags, ["split", "log_price"])
 
 
@@ -82,19 +85,19 @@ def scored(model, rows: DataFrame) -> DataFrame:
 
 @query()
 def ridge_price(spark: SparkSession, d: str) -> DataFrame:
-    vectors = model_vectors(ridge_rows(spark, d), ridge_blocks(), tfidf=True)
+    vectors = model_vectors(ridge_rows(spark, d), model_tags(spark, d), ridge_blocks(), tfidf=True)
     return scored(models.ridge_price(vectors.where(is_train()), max_iter=60), vectors)
 
 
 @query()
 def sparse_linear_price(spark: SparkSession, d: str) -> DataFrame:
-    vectors = model_vectors(linear_rows(spark, d), linear_blocks(), tfidf=False)
+    vectors = model_vectors(linear_rows(spark, d), model_tags(spark, d), linear_blocks(), tfidf=False)
     return scored(models.sparse_linear_price(vectors.where(is_train())), vectors)
 
 
 @query()
 def fm_price(spark: SparkSession, d: str) -> DataFrame:
-    vectors = model_vectors(linear_rows(spark, d), linear_blocks(), tfidf=False)
+    vectors = model_vectors(linear_rows(spark, d), model_tags(spark, d), linear_blocks(), tfidf=False)
     return scored(models.fm_price(vectors.where(is_train())), vectors)
 
 

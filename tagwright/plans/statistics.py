@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.operators import clean, encode, sparse, stats
+from tagwright.operators import encode, stats
 from tagwright.operators import vocab as vo
 from tagwright.functions import text as tx
 from tagwright.plans import inputs
