@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import pii, secret_scan
+from tagwright.llm import pii, quality, secret_scan, simhash
 from tagwright.sources.shared import publish
 
 QUERIES = {}
@@ -29,6 +29,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(found, pii.fit(found))
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
