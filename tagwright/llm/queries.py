@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import pii, quality, secret_scan, simhash
+from tagwright.llm import packing, pii, quality, secret_scan, simhash, token_index
 from tagwright.sources.shared import publish
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
+# The vocabulary every query of tokens uses; operators take any path.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -39,6 +43,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
