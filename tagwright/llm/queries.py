@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import packing, pii, quality, secret_scan, simhash, token_index
+from tagwright.llm import bpe, packing, pii, quality, secret_scan, simhash, token_index
 from tagwright.sources.shared import publish
 
 QUERIES = {}
@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 
 # The vocabulary every query of tokens uses; operators take any path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def query(fn):
@@ -56,3 +57,8 @@ def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
