@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import bpe, packing, pii, quality, secret_scan, simhash, token_index, topk, toxicity
+from tagwright.llm import bpe, html_text, packing, pii, quality, secret_scan, simhash, token_index, topk, toxicity
 from tagwright.sources.shared import publish
 
 QUERIES = {}
@@ -71,6 +71,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
