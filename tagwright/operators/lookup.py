@@ -4,27 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwright.sources.shared import publish
 
-# A table is broadcast only when its measured size stays below this.
+# A table is broadcast only when its measured size stays below this; the session can set another
+# limit, as executors with more memory broadcast a bigger vocabulary more cheaply than they shuffle.
 BROADCAST_BYTES = 48 * 1024 * 1024
-# Beyond it, this many of the most frequent keys are still answered by broadcast.
-HOT_KEYS = 1000
-# The rows they answer are spread over this many join keys.
-SPREAD = 4096
+BROADCAST_SETTING = "spark.tagwright.broadcastBytes"
 
 
-def by_listing(df: DataFrame) -> DataFrame:
-    """Rows placed by ``listing_id`` in the session's full number of shuffle partitions.
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
 
-    The number is given explicitly so that adaptive execution does not merge partitions by the size
-    of the texts: what follows turns each row into hundreds.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "listing_id")
+
+def by_listing(df: DataFrame) -> DataFrame:
+    """Rows placed by ``listing_id``; adaptive execution chooses how many partitions that takes."""
+    return df.repartition("listing_id")
 
 
 def _width(field: T.StructField) -> Column:
@@ -44,9 +42,10 @@ def measured_bytes(table: DataFrame) -> int:
     return int(table.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long")).first()[0])
 
 
-def fits(table: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
+def fits(table: DataFrame, limit_bytes: int | None = None) -> bool:
     """Whether the table may be broadcast."""
-    return measured_bytes(table) <= limit_bytes
+    limit = broadcast_limit(table.sparkSession) if limit_bytes is None else limit_bytes
+    return measured_bytes(table) <= limit
 
 
 def lookup_join(
@@ -55,19 +54,19 @@ def lookup_join(
     on: str | Sequence[str],
     how: str = "left",
     weight: str | None = None,
-    limit_bytes: int = BROADCAST_BYTES,
+    limit_bytes: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a fitted ``table`` that holds each key once.
 
-    ``how`` is ``left``, ``inner`` or ``left_semi``. A table measured below ``limit_bytes`` is
-    broadcast, so the big side is not shuffled. A bigger one is joined by shuffle. If ``weight``
-    names the table's column with the number of rows per key, the ``HOT_KEYS`` heaviest keys are
-    answered from a broadcast of bounded size and their rows carry a spread key through the
-    shuffle: a key with a third of all rows then ends up in thousands of pieces, and no key left
-    for the shuffle can be heavy.
+    ``how`` is ``left``, ``inner`` or ``left_semi``. A table measured below the limit (the session's,
+    or ``limit_bytes``) is broadcast, so the big side is not shuffled. A bigger one is joined by
+    shuffle. If ``weight`` names the table's column with the number of rows per key, the keys heavier
+    than one shuffle partition's share are answered by broadcast (they are fewer than partitions)
+    and their rows, like rows without a key, stay where they are; only the others are shuffled.
 
-    ``small`` is the answer of an earlier ``fits`` for this table, to save measuring it again.
+    ``rows`` is then read twice, so it should be a stored table or cheap. ``small`` is the answer of
+    an earlier ``fits`` for this table, to save measuring it again.
     """
     on = [on] if isinstance(on, str) else list(on)
     if fits(table, limit_bytes) if small is None else small:
@@ -76,26 +75,20 @@ def lookup_join(
     if weight is None:
         return rows.join(table, on, how)
 
-    payload = [c for c in table.columns if c not in on]
-    packed = table.select(*on, F.struct(*payload).alias("_answer"))
-    hot = (
-        table.orderBy(F.desc(weight), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.struct(*payload).alias("_hot"))
-    )
-    marked = rows.join(F.broadcast(hot), on, "left")
-    elsewhere = F.col("_hot").isNotNull()
-    for key in on:
-        elsewhere = elsewhere | F.col(key).isNull()
-    piece = F.when(elsewhere, F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int"))
-    marked = marked.withColumn("_piece", F.coalesce(piece, F.lit(-1)))
-    joined = marked.join(packed.withColumn("_piece", F.lit(-1)), [*on, "_piece"], "left")
-    joined = joined.withColumn("_found", F.coalesce("_hot", "_answer"))
-    if how != "left":
-        joined = joined.where(F.col("_found").isNotNull())
-    extra = [] if how == "left_semi" else [F.col(f"_found.{c}").alias(c) for c in payload]
+    payload = [] if how == "left_semi" else [c for c in table.columns if c not in on]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = table.agg(F.sum(weight) / parts).scalar()
+    hot = table.where(F.col(weight) > share).select(*on, *payload, F.lit(True).alias("_hot"))
     rest = [c for c in rows.columns if c not in on]
-    return joined.select(*on, *rest, *extra)
+    keyless = F.lit(False)
+    for key in on:
+        keyless = keyless | F.col(key).isNull()
+    columns = [*on, *rest, *payload]
+
+    here = rows.join(F.broadcast(hot), on, "left")
+    here = here.where((F.col("_hot") | keyless) if how == "left" else F.col("_hot"))
+    others = rows.where(~keyless).join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return here.select(*columns).unionByName(others.join(table.select(*on, *payload), on, how).select(*columns))
 
 
 def dense_index(table: DataFrame, keys: str | Sequence[str], name: str, start: int = 1) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sparse feature blocks as one long table ``(listing_id, block, feature, value)``.
 
-A block is an array expression over a listing row. All blocks of a listing are exploded from the
-same scan, so ten blocks cost one pass over the data and one shuffle of the listing rows.
+A block is an array expression over a listing row. Equal features are combined and rows of a block
+are brought to length one inside the row; the cells of all blocks are exploded last. So ten blocks
+cost one pass over the data and no shuffle.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 
 from tagwright.functions import text as tx
 from tagwright.functions.words import SHORT_STOP_WORDS
-from tagwright.operators.lookup import by_listing, dense_index, lookup_join
-from tagwright.sources.shared import fresh_path
+from tagwright.operators.lookup import dense_index, lookup_join
+from tagwright.sources.shared import fresh_path, publish
 
 NOT_SHOWN = "<NOT_SHOWN>"
 KEY = ["block", "feature"]
@@ -62,15 +63,17 @@ def single(feature: Column, value: Column | float = 1.0) -> Column:
 # ---- the blocks -------------------------------------------------------------------------------
 
 def wordbag_name(text: Column, buckets: int = 1 << 29, weights: tuple[float, float] = (1.5, 1.0)) -> Block:
-    words = tx.normalized_words(text)
-    grams = [weighted(F.array_distinct(tx.ngrams(words, n + 1)), w) for n, w in enumerate(weights)]
-    return Block("name", hashed(F.concat(*grams), buckets), combine="max", min_df=2)
+    def grams(words: Column) -> Column:
+        return F.concat(*[weighted(F.array_distinct(tx.ngrams(words, n + 1)), w) for n, w in enumerate(weights)])
+
+    return Block("name", hashed(tx.bound(tx.normalized_words(text), grams), buckets), combine="max", min_df=2)
 
 
 def wordbag_desc(text: Column, buckets: int = 1 << 28, weights: tuple[float, float] = (1.0, 1.0)) -> Block:
-    words = tx.normalized_words(text)
-    grams = [weighted(tx.ngrams(words, n + 1), w) for n, w in enumerate(weights)]
-    return Block("desc", hashed(F.concat(*grams), buckets), l2=True, min_df=2)
+    def grams(words: Column) -> Column:
+        return F.concat(*[weighted(tx.ngrams(words, n + 1), w) for n, w in enumerate(weights)])
+
+    return Block("desc", hashed(tx.bound(tx.normalized_words(text), grams), buckets), l2=True, min_df=2)
 
 
 def hash_vectorize(
@@ -116,34 +119,46 @@ def onehot_codes(has_brand: Column, shipping: Column, condition: Column) -> list
 
 # ---- the long table ---------------------------------------------------------------------------
 
-def _cells(block: Block) -> Column:
-    return F.transform(
-        block.emit,
-        lambda x: F.struct(
-            F.lit(block.name).alias("block"), x["feature"].alias("feature"), x["value"].alias("value")
+def _combined(block: Block) -> Column:
+    """The block's cells of one row: sorted by feature, each run of equal features as one cell."""
+
+    def cells(at: Column) -> Column:
+        start = lambda i: (i == 0) | (F.get(at, i)["feature"] != F.get(at, i - 1)["feature"])
+
+        def runs(starts: Column) -> Column:
+            def run(p: Column, j: Column) -> Column:
+                own = F.slice(at, p + 1, F.coalesce(F.get(starts, j + 1), F.size(at)) - p)
+                if block.combine == "max":
+                    value = F.array_max(F.transform(own, lambda c: c["value"]))
+                else:
+                    value = F.aggregate(own, F.lit(0.0), lambda a, c: a + c["value"])
+                return F.struct(F.get(at, p)["feature"].alias("feature"), value.alias("value"))
+
+            return F.filter(F.transform(starts, run), lambda c: c["value"] != 0)
+
+        return tx.bound(F.filter(F.sequence(F.lit(0), F.size(at) - 1), start), runs)
+
+    none = F.array().cast("array<struct<feature:string,value:double>>")
+    found = tx.bound(F.array_sort(block.emit), lambda at: F.when(F.size(at) > 0, cells(at)).otherwise(none))
+    named = lambda c, length: F.struct(
+        F.lit(block.name).alias("block"), c["feature"].alias("feature"), (c["value"] / length).alias("value")
+    )
+    if not block.l2:
+        return F.transform(found, lambda c: named(c, F.lit(1.0)))
+    square = lambda a, c: a + c["value"] * c["value"]
+    return tx.bound(
+        found,
+        lambda own: tx.bound(
+            F.sqrt(F.aggregate(own, F.lit(0.0), square)), lambda length: F.transform(own, lambda c: named(c, length))
         ),
     )
 
 
-def stack_blocks(df: DataFrame, blocks: Sequence[Block]) -> DataFrame:
-    """All blocks of every listing. Rows are placed by listing before the explode, so what is
-    shuffled is the text and not the n-grams, and the sums and norms below need no further shuffle."""
-    cells = [_cells(b) for b in blocks]
-    placed = by_listing(df)
-    long = placed.select("listing_id", F.explode(F.concat(*cells)).alias("_c")).select("listing_id", "_c.*")
-    largest = [b.name for b in blocks if b.combine == "max"]
-    counted = long.groupBy("listing_id", *KEY).agg(F.sum("value").alias("_sum"), F.max("value").alias("_max"))
-    value = F.when(F.col("block").isin(largest), F.col("_max")).otherwise(F.col("_sum")) if largest else F.col("_sum")
-    out = counted.select("listing_id", *KEY, value.alias("value")).where(F.col("value") != 0)
-    normed = [b.name for b in blocks if b.l2]
-    if not normed:
-        return out
-    if len(normed) == len(blocks):
-        return l2_norm(out, ["listing_id", "block"])
-    length = _length(["listing_id", "block"])
-    return out.withColumn(
-        "value", F.when(F.col("block").isin(normed), F.col("value") / length).otherwise(F.col("value"))
-    )
+def stack_blocks(df: DataFrame, blocks: Sequence[Block], carry: Sequence[str] = ()) -> DataFrame:
+    """All blocks of every listing (``listing_id`` unique), with the columns ``carry`` of its row.
+    Nothing is shuffled: a listing's features come from its own row."""
+    cells = F.concat(*[_combined(b) for b in blocks])
+    return df.select("listing_id", *carry, F.explode(cells).alias("_c")).select("listing_id", *carry, "_c.*")
 
 
 def _length(by: Sequence[str]) -> Column:
@@ -179,7 +194,8 @@ def kept_features(
 
 
 def df_filter(features: DataFrame, kept: DataFrame) -> DataFrame:
-    """Only features of the fitted set; frequent ones are answered without moving their rows."""
+    """Only features of the fitted set. If that is too big to broadcast, rows of the heaviest features
+    still stay where they are."""
     return lookup_join(features, kept, KEY, "left_semi", weight="df")
 
 
@@ -200,16 +216,46 @@ def feature_intersect(left: DataFrame, right: DataFrame, min_df: int = 1) -> Dat
     return a.join(b, KEY)
 
 
-def split_counts(features: DataFrame, rows: DataFrame, min_df: int = 1) -> DataFrame:
-    """``feature_intersect`` of the train and test rows of one long table, from a single pass:
-    ``(block, feature, df, df_right)``. ``rows`` carries ``split`` per listing."""
-    tagged = features.join(rows.select("listing_id", "split"), "listing_id")
-    counts = tagged.where(F.col("value") != 0).groupBy(*KEY).agg(
+def split_counts(features: DataFrame, min_df: int = 1) -> DataFrame:
+    """``feature_intersect`` of the train and test rows of one long table that carries ``split``,
+    from a single pass: ``(block, feature, df, df_right)``."""
+    counts = features.where(F.col("value") != 0).groupBy(*KEY).agg(
         F.count_if(F.col("split") == "train").alias("df"), F.count_if(F.col("split") == "test").alias("df_right")
     )
     return counts.where((F.col("df") >= min_df) & (F.col("df_right") >= min_df))
 
 
+def fit_features(features: DataFrame, min_df: int | dict[str, int], both_splits: bool = False) -> DataFrame:
+    """``(block, feature, df, index)`` of the features kept, from one aggregation of the long table.
+
+    ``features`` carries ``split``. With ``both_splits`` only features that occur in train and in
+    test rows get an index; the others are kept with a null one, as they count for weights and
+    lengths.
+    """
+    counts = features.where(F.col("value") != 0).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("df"), F.count_if(F.col("split") == "train").alias("_train")
+    )
+    kept = publish(kept_features(counts, min_df), "kept")
+    shared = kept.where((F.col("_train") > 0) & (F.col("_train") < F.col("df")))
+    if not both_splits:
+        return publish(feature_index(kept), "features-fitted")
+    return publish(kept.drop("_train").join(feature_index(shared).drop("df"), KEY, "left"), "features-fitted")
+
+
+def indexed(features: DataFrame, fitted: DataFrame, rows: int | Column | None = None) -> DataFrame:
+    """``(listing_id, index, value)`` of any rows' features by a fitted table, from one join.
+
+    ``rows`` (how many the table was fitted on) asks for TF-IDF weights and rows of length one over
+    all kept features. Features that were not kept, or have no index, give nothing.
+    """
+    found = lookup_join(features, fitted, KEY, "inner", weight="df")
+    if rows is not None:
+        n = F.lit(rows) if isinstance(rows, int) else rows
+        weight = F.col("value") * (F.log((n + 1) / (F.col("df") + 1)) + 1)
+        found = l2_norm(found.withColumn("value", weight))
+    return found.where(F.col("index").isNotNull()).select("listing_id", "index", "value")
+
+
 def tfidf(features: DataFrame, nnz: DataFrame, rows: DataFrame) -> DataFrame:
     """``value * (ln((1 + n) / (1 + df)) + 1)`` over all blocks, then each listing to length one."""
     n = rows.agg(F.count(F.lit(1))).scalar()
@@ -229,9 +275,14 @@ def to_vectors(features: DataFrame, index: DataFrame, rows: DataFrame, extra: Se
     The vectors are written to the shared folder and read back typed as ML vectors: fitting passes
     over them many times, and this way no value goes through Python.
     """
-    spark = features.sparkSession
-    size = index.agg((F.max("index") + 1).cast("int")).scalar()
-    cells = lookup_join(features, index, KEY, "inner", weight="df").select(
+    return pack_vectors(indexed(features, index), index, rows, extra)
+
+
+def pack_vectors(cells: DataFrame, fitted: DataFrame, rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """``to_vectors`` for cells ``(listing_id, index, value)`` whose indices come from ``fitted``."""
+    spark = cells.sparkSession
+    size = fitted.agg((F.max("index") + 1).cast("int")).scalar()
+    cells = cells.select(
         "listing_id", F.struct(F.col("index").cast("int").alias("i"), F.col("value").alias("v")).alias("_cell")
     )
     keep = rows.select("listing_id", *extra)
@@ -250,3 +301,10 @@ def to_vectors(features: DataFrame, index: DataFrame, rows: DataFrame, extra: Se
     out.write.parquet(path)
     schema = T.StructType([*[f for f in out.schema if f.name != "features"], T.StructField("features", VectorUDT())])
     return spark.read.schema(schema).parquet(path)
+
+
+def unpacked(vectors: DataFrame) -> DataFrame:
+    """``(listing_id, place, value)`` per cell of stored vectors; an empty vector gives one row of nulls."""
+    parts = vectors.select("listing_id", F.unwrap_udt("features").alias("v"))
+    cells = F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("value"))
+    return parts.select("listing_id", F.explode_outer(cells).alias("c")).select("listing_id", "c.place", "c.value")

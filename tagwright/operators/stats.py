@@ -64,10 +64,10 @@ def top_values(df: DataFrame, column: str, top: int, skip: str = "missing") -> D
 def keep_values(
     df: DataFrame, kept: DataFrame, column: str, other: str = "missing", small: bool | None = None
 ) -> DataFrame:
-    """Values outside the kept set become ``other``."""
-    hits = kept.select(column, F.lit(True).alias("_hit"))
-    joined = lookup_join(df, hits, column, small=small)
-    return joined.withColumn(column, F.when(F.col("_hit"), F.col(column)).otherwise(other)).drop("_hit")
+    """Values outside the kept set become ``other``. ``kept`` holds ``n``, the rows of each value."""
+    hits = kept.select(column, F.lit(True).alias("_hit"), F.col("n").alias("_n"))
+    joined = lookup_join(df, hits, column, weight="_n", small=small)
+    return joined.withColumn(column, F.when(F.col("_hit"), F.col(column)).otherwise(other)).drop("_hit", "_n")
 
 
 def topk_keep(
@@ -84,7 +84,7 @@ def topk_keep(
     kept = publish(union_splits(*best), "tops")
     small = fits(kept) or None
     for column in tops:
-        one = kept.where(F.col("feature") == column).select(F.col("key").alias(column))
+        one = kept.where(F.col("feature") == column).select(F.col("key").alias(column), "n")
         df = keep_values(df, one, column, skip, small)
     return df
 

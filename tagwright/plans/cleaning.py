@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tagwright.functions import text as tx
 from tagwright.operators import clean, stats
 from tagwright.operators import encode
+from tagwright.operators.lookup import lookup_join
 from tagwright.plans import inputs
 from tagwright.plans.oracles import normalized, over, plain, tokenized, units
 from tagwright.plans.registry import query
 from tagwright.sources import fixtures
 from tagwright.sources import listings as src
-from tagwright.sources.shared import fresh_path
+from tagwright.sources.shared import fresh_path, publish
 from tagwright.streaming.scoring import scan_chunked as copy_chunks
 
 TEXTS = ["name", "category_name", "brand_name", "item_description"]
@@ -55,7 +56,7 @@ def scan_chunked(spark: SparkSession, d: str) -> DataFrame:
 WORD_VECTORS = """SELECT r.word, e.embedding AS vec FROM (
     SELECT word, row_number() OVER (ORDER BY word) - 1 AS vec_id
     FROM (SELECT DISTINCT unnest({tokens}) AS word FROM benchmark)) r
-  JOIN embeddings e ON e.vec_id = r.vec_id""".format(tokens=tokenized("text"))
+  JOIN embeddings e ON e.vec_id = r.vec_id % (SELECT count(*) FROM embeddings)""".format(tokens=tokenized("text"))
 
 
 @query(
@@ -81,8 +82,8 @@ def scan_word_vectors(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def sink_predictions_csv(spark: SparkSession, d: str) -> DataFrame:
-    means = stats.group_mean(inputs.train(spark, d), "category_name", "log_price", "mean")
-    test = inputs.test(spark, d).join(means, "category_name", "left")
+    means = publish(stats.group_mean(inputs.train(spark, d), "category_name", "log_price", "mean"), "means")
+    test = lookup_join(inputs.test(spark, d), means, "category_name", weight="n")
     price = F.round(F.expm1(F.coalesce("mean", F.lit(0.0))), 4)
     path = src.write_predictions(test.select("listing_id", price.alias("price")), fresh_path(spark, "out"))
     return src.read_predictions(spark, path)
@@ -191,13 +192,13 @@ def drop_columns(spark: SparkSession, d: str) -> DataFrame:
 @query(
     over(
         "priced",
-        "SELECT listing_id, greatest(price - (SELECT avg(price) FROM priced), 0.0) > 0 AS above FROM priced",
+        "SELECT listing_id, round(greatest(price - (SELECT avg(price) FROM priced), 0.0), 2) AS above FROM priced",
     )
 )
 def clip_negative(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.priced(spark, d)
     estimate = F.col("price") - rows.agg(F.avg("price")).scalar()
-    return rows.select("listing_id", (clean.clip_negative(estimate) > 0).alias("above"))
+    return rows.select("listing_id", F.round(clean.clip_negative(estimate), 2).alias("above"))
 
 
 PAIR_MEANS = """SELECT category_name, brand_name, item_condition_id, avg(log_price) AS mean
@@ -215,8 +216,8 @@ PAIR_MEANS = """SELECT category_name, brand_name, item_condition_id, avg(log_pri
 def fallback_price(spark: SparkSession, d: str) -> DataFrame:
     keys = ["category_name", "brand_name", "item_condition_id"]
     shipped = inputs.train(spark, d).where("shipping = 1")
-    means = shipped.groupBy(*keys).agg(F.avg("log_price").alias("mean"))
-    test = inputs.test(spark, d).join(means, keys, "left")
+    means = shipped.groupBy(*keys).agg(F.avg("log_price").alias("mean"), F.count(F.lit(1)).alias("n"))
+    test = lookup_join(inputs.test(spark, d), publish(means, "means"), keys, weight="n")
     return test.select("listing_id", F.round(clean.fallback_price(F.expm1("mean")), 4).alias("price"))
 
 

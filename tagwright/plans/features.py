@@ -311,13 +311,16 @@ def count_whole_value(spark: SparkSession, d: str) -> DataFrame:
     over(
         "tagged",
         """SELECT listing_id, 'brand' AS block, brand_name AS feature, 1.0::DOUBLE AS value FROM tagged
-           WHERE brand_name IN (SELECT brand_name FROM tagged WHERE split = 'train')""",
+           WHERE brand_name IN (SELECT brand_name FROM tagged WHERE split = 'train' AND shipping = 1
+                                GROUP BY 1 HAVING count(*) >= 600)""",
     )
 )
 def onehot_brand(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.tagged(spark, d).select("listing_id", "split", "brand_name")
+    """Fitted on the brands often shipped, so that some brands are unseen and give nothing."""
+    rows = inputs.tagged(spark, d).select("listing_id", "split", "brand_name", "shipping")
     block = [sparse.onehot("brand", F.col("brand_name"))]
-    fitted = sparse.col_nnz(sparse.stack_blocks(rows.where(is_train()), block))
+    shipped = rows.where(is_train() & (F.col("shipping") == 1))
+    fitted = sparse.kept_features(sparse.col_nnz(sparse.stack_blocks(shipped, block)), 600)
     return out_features(sparse.df_filter(sparse.stack_blocks(rows, block), publish(fitted, "brands")))
 
 
@@ -403,7 +406,7 @@ STACKED = f"""SELECT * FROM bag
 
 
 def document_blocks(spark: SparkSession, d: str) -> DataFrame:
-    table = fixtures.spread(fixtures.table(spark, d, "documents"), "doc_id")
+    table = fixtures.table(spark, d, "documents")
     docs = table.select(
         F.col("doc_id").cast("string").alias("listing_id"), F.lower("text").alias("text"), "lang", "source"
     )
@@ -467,9 +470,8 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 )
 def feature_intersect(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.filled(spark, d).select("listing_id", "name", "split")
-    block = [sparse.wordbag_name(F.col("name"))]
-    sides = [sparse.col_nnz(sparse.stack_blocks(rows.where(w), block)) for w in (is_train(), is_test())]
-    return sparse.feature_intersect(*sides).select("block", "feature", "df", "df_right")
+    features = sparse.stack_blocks(rows, [sparse.wordbag_name(F.col("name"))], carry=["split"])
+    return sparse.split_counts(features)
 
 
 @query(
@@ -487,8 +489,21 @@ def feature_index(spark: SparkSession, d: str) -> DataFrame:
     return sparse.feature_index(kept)
 
 
-@query()
+@query(
+    over(
+        "docs",
+        """SELECT d.listing_id, i.index AS place, round(f.value, 6) AS value FROM docs d
+           LEFT JOIN (features f JOIN index i USING (block, feature)) ON f.listing_id = d.listing_id""",
+        words=HASH_WORDS,
+        bag=HASH_DESC,
+        features=STACKED,
+        index="""SELECT block, feature, CAST(row_number() OVER (ORDER BY block, feature) - 1 AS INT) AS index
+                 FROM features GROUP BY 1, 2 HAVING count(*) >= 2""",
+    )
+)
 def to_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, unpacked to one row per cell (one row of nulls for an empty vector)."""
     features = publish(document_blocks(spark, d), "features")
     index = publish(sparse.feature_index(sparse.kept_features(sparse.col_nnz(features), 2)), "index")
-    return sparse.to_vectors(features, index, fixtures.documents(spark, d))
+    vectors = sparse.to_vectors(features, index, fixtures.documents(spark, d))
+    return sparse.unpacked(vectors).select("listing_id", "place", F.round("value", 6).alias("value"))

@@ -181,7 +181,7 @@ def min_max(spark: SparkSession, d: str) -> DataFrame:
 )
 def vocab_sort(spark: SparkSession, d: str) -> DataFrame:
     names = inputs.filled(spark, d).select("listing_id", tx.tokenize_words(F.col("name")).alias("tokens"))
-    return vo.dense_index(vo.doc_freq(names), "token", "place")
+    return vo.vocab_sort(vo.doc_freq(names))
 
 
 @query(
@@ -287,11 +287,11 @@ def _estimates(spark: SparkSession, d: str) -> DataFrame:
         "dense",
         """SELECT split, CAST(item_condition_id AS BIGINT) AS item_condition_id,
              round(sqrt(avg(power(ln(1 + price) - ln(1 + (exp(cat_mean) - 1)), 2))), 6) AS rmsle, count(*) AS n
-           FROM dense WHERE price >= 0 GROUP BY 1, 2""",
+           FROM dense WHERE price > 0 GROUP BY 1, 2""",
     )
 )
 def rmsle(spark: SparkSession, d: str) -> DataFrame:
-    rows = _estimates(spark, d).withColumn("estimate", F.expm1("cat_mean"))
+    rows = _estimates(spark, d).where("price > 0").withColumn("estimate", F.expm1("cat_mean"))
     errors = encode.rmsle(rows, "price", "estimate", ["split", "item_condition_id"])
     return errors.select("split", F.col("item_condition_id").cast("long"), *rounded("rmsle"), "n")
 
@@ -322,12 +322,13 @@ def blend(spark: SparkSession, d: str) -> DataFrame:
         """SELECT split, round(sqrt(avg(power(log_price - (cat_mean + cond_mean + brand_mean + ship_mean) / 4, 2))), 6) AS means_rmsle,
              round(sqrt(avg(power(log_price - (SELECT avg(log_price) FROM dense WHERE split = 'train'), 2))), 6) AS constant_rmsle,
              round(avg(exp((cat_mean + cond_mean + brand_mean + ship_mean) / 4) - 1), 2) AS mean_estimate, count(*) AS n
-           FROM dense GROUP BY 1""",
+           FROM dense WHERE price > 0 GROUP BY 1""",
     )
 )
 def price_report(spark: SparkSession, d: str) -> DataFrame:
-    """How well the mean of the four encodings prices a listing, against a constant guess."""
-    rows = _estimates(spark, d)
+    """How well the mean of the four encodings prices a listing, against a constant guess; listings
+    without a price cannot be judged."""
+    rows = _estimates(spark, d).where("price > 0")
     guess = inputs.train(spark, d).agg(F.avg("log_price")).scalar()
     average = sum((F.col(c) for c in MEANS), F.lit(0.0)) / len(MEANS)
     priced = rows.withColumns({"estimate": F.expm1(average), "constant": F.expm1(guess)})

@@ -13,19 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than the session has cores (a file of one
-    row group is one split however many cores wait). A scan with enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per line item; the SQL twin is ``plans.oracles.LISTINGS``.
 
     No join is hinted: the optimizer knows each table's file size and broadcasts what is small.
     """
-    item = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    item = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -82,7 +75,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in the shape of long descriptions: ``(listing_id, item_description)``."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("listing_id"), F.col("text").alias("item_description")
     )
 
@@ -95,14 +88,16 @@ def probe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every letter word of the documents."""
-    texts = spread(table(spark, sf_dir, "documents"), "doc_id")
+    texts = table(spark, sf_dir, "documents")
     return texts.select(F.explode(letter_words(F.col("text"))).alias("word"))
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th benchmark word in sorted order gets the k-th vector."""
+    """Every benchmark word with a vector: the k-th word in sorted order gets vector k modulo their
+    number."""
     texts = table(spark, sf_dir, "benchmark")
     words = texts.select(F.explode(tokenize_words(F.col("text"))).alias("word")).distinct()
-    ranked = dense_index(words, "word", "vec_id", start=0)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return ranked.join(vectors, "vec_id").select("word", "vec")
+    number = vectors.agg(F.count(F.lit(1))).scalar()
+    ranked = dense_index(words, "word", "rank", start=0)
+    return ranked.withColumn("vec_id", F.col("rank") % number).join(vectors, "vec_id").select("word", "vec")
