@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.operators.lookup import fits, lookup_join
@@ -59,6 +59,16 @@ class DenseEncoding:
     unseen: str = "zero"
     small: bool | None = None
 
+    def save(self, path: str) -> None:
+        """Store the fitted tables below ``path``; ``load`` gives the same encoding in any session."""
+        self.means.write.parquet(f"{path}/means")
+        self.ranges.withColumn("unseen", F.lit(self.unseen)).write.parquet(f"{path}/ranges")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DenseEncoding:
+        means, ranges = (spark.read.parquet(f"{path}/{part}") for part in ("means", "ranges"))
+        return cls(means, ranges.drop("unseen"), ranges.first()["unseen"], fits(means))
+
     def apply(self, df: DataFrame) -> DataFrame:
         out = self.unscaled(df)
         return minmax_scale(out, self.ranges, DENSE)
@@ -72,13 +82,15 @@ class DenseEncoding:
 def fit_dense(train: DataFrame, target: str = "log_price", unseen: str = "zero") -> DenseEncoding:
     """Fit on training rows whose missing texts are already filled.
 
-    Two passes over the rows: one for all four mean tables, one for the ranges.
+    The columns needed are written once; the means and the ranges are read off that narrow table, and
+    the overall mean off the table of means (every row counts once under each key).
     """
-    means = publish(group_means(train, target), "means")
+    narrow = publish(text_length(train).select(*ENCODED, "len_desc", "len_name", target), "narrow")
+    means = publish(group_means(narrow, target), "means")
     small = fits(means)
-    joined = text_length(join_left_stats(train, means, small=small))
-    ranges = min_max(joined, DENSE)
-    overall = train.agg(F.avg(target)).scalar()
+    ranges = min_max(join_left_stats(narrow, means, small=small), DENSE)
+    one = means.where(F.col("feature") == next(iter(ENCODED)))
+    overall = one.agg(F.sum(F.col("mean") * F.col("n")) / F.sum("n")).scalar()
     return DenseEncoding(means, publish(ranges.withColumn("overall", overall), "ranges"), unseen, small)
 
 
@@ -120,9 +132,10 @@ def blend(weights: dict[str, float], scale: str = "price") -> Column:
     return sum((F.expm1(F.col(c)) * w for c, w in weights.items()), F.lit(0.0))
 
 
-def join_predictions(*parts: DataFrame) -> DataFrame:
-    """Predictions of several models side by side, matched by listing, never by position."""
+def join_predictions(*parts: DataFrame, how: str = "inner") -> DataFrame:
+    """Predictions of several models side by side, matched by listing, never by position; ``left``
+    keeps all listings of the first part."""
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, "listing_id")
+        out = out.join(part, "listing_id", how)
     return out

@@ -40,9 +40,16 @@ def ridge_blocks() -> list[sparse.Block]:
     ]
 
 
+# The most frequent values kept per column; what is rarer becomes "missing".
+LINEAR_TOPS = {"brand_name": 4500, "general_cat": 1250, "subcat_1": 1250, "subcat_2": 1250}
+
+
 def linear_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = clean.fill_missing_tag(clean.with_categories(inputs.priced(spark, d)))
-    return rows.fillna("missing", ["name"])
+    """Listings with rare brands and categories cut. Training rows below the least price lose their
+    price: their texts count for the features, but nothing is learned from them."""
+    rows = clean.split_low_price(fixtures.listings(spark, d))
+    rows = clean.fill_missing_tag(clean.with_categories(rows)).fillna("missing", ["name"])
+    return stats.topk_keep(rows, LINEAR_TOPS, rows.where(is_train()))
 
 
 def linear_blocks() -> list[sparse.Block]:
@@ -55,27 +62,29 @@ def linear_blocks() -> list[sparse.Block]:
     ]
 
 
-def model_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Split and label per listing, written once, so the text cleaning is not repeated for them."""
-    rows = inputs.priced(spark, d).withColumn("log_price", clean.log_price(F.col("price")))
-    return publish(rows.select("listing_id", "split", "log_price"), "tags")
+def model_tags(rows: DataFrame) -> DataFrame:
+    """Split and label per listing (null: nothing to learn from), written once."""
+    label = clean.log_price(F.col("price"))
+    return publish(rows.select("listing_id", "split", label.alias("log_price")), "tags")
+
+
+def learned(vectors: DataFrame) -> DataFrame:
+    return vectors.where(is_train() & F.col("log_price").isNotNull())
 
 
 def model_vectors(
-    rows: DataFrame, tags: DataFrame, blocks: list[sparse.Block], tfidf: bool
+    rows: DataFrame, blocks: list[sparse.Block], tfidf: bool, both_splits: bool
 ) -> DataFrame:
-    """Vectors ``(listing_id, split, log_price, features)`` over features both splits have.
+    """Vectors ``(listing_id, split, log_price, features)``.
 
-    The long table is written once: its counts, weights and vectors all start from it.
+    The long table is written once, counted once and joined once with the fitted features.
+    ``both_splits`` leaves out of the vectors what does not occur in train and test rows alike.
     """
-    features = publish(sparse.stack_blocks(rows, blocks), "features")
-    least = {b.name: b.min_df for b in blocks}
-    kept = publish(sparse.kept_features(sparse.col_nnz(features), least), "kept")
-    features = sparse.df_filter(features, kept)
-    if tfidf:
-        features = sparse.tfidf(features, kept, tags)
-    index = publish(sparse.feature_index(sparse.split_counts(features, tags)), "index")
-    return sparse.to_vectors(features, index, tags, ["split", "log_price"])
+    tags = model_tags(rows)
+    features = publish(sparse.stack_blocks(rows, blocks, carry=["split"]), "features")
+    fitted = sparse.fit_features(features, {b.name: b.min_df for b in blocks}, both_splits)
+    number = tags.agg(F.count(F.lit(1))).scalar() if tfidf else None
+    return sparse.pack_vectors(sparse.indexed(features, fitted, number), fitted, tags, ["split", "log_price"])
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
@@ -83,22 +92,30 @@ def scored(model, rows: DataFrame) -> DataFrame:
     return found.withColumn("price", clean.clip_negative(F.expm1("prediction")))
 
 
+def linear_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return model_vectors(linear_rows(spark, d), linear_blocks(), tfidf=False, both_splits=False)
+
+
+def ridge_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return model_vectors(ridge_rows(spark, d), ridge_blocks(), tfidf=True, both_splits=True)
+
+
 @query()
 def ridge_price(spark: SparkSession, d: str) -> DataFrame:
-    vectors = model_vectors(ridge_rows(spark, d), model_tags(spark, d), ridge_blocks(), tfidf=True)
-    return scored(models.ridge_price(vectors.where(is_train()), max_iter=60), vectors)
+    vectors = ridge_vectors(spark, d)
+    return scored(models.ridge_price(learned(vectors)), vectors)
 
 
 @query()
 def sparse_linear_price(spark: SparkSession, d: str) -> DataFrame:
-    vectors = model_vectors(linear_rows(spark, d), model_tags(spark, d), linear_blocks(), tfidf=False)
-    return scored(models.sparse_linear_price(vectors.where(is_train())), vectors)
+    vectors = linear_vectors(spark, d)
+    return scored(models.sparse_linear_price(learned(vectors)), vectors)
 
 
 @query()
 def fm_price(spark: SparkSession, d: str) -> DataFrame:
-    vectors = model_vectors(linear_rows(spark, d), model_tags(spark, d), linear_blocks(), tfidf=False)
-    return scored(models.fm_price(vectors.where(is_train())), vectors)
+    vectors = linear_vectors(spark, d)
+    return scored(models.fm_price(learned(vectors)), vectors)
 
 
 # ---- dense models -----------------------------------------------------------------------------
@@ -112,9 +129,8 @@ def dense_rows(spark: SparkSession, d: str) -> DataFrame:
     return publish(rows.select(*keep), "dense")
 
 
-@query()
-def dense_price(spark: SparkSession, d: str) -> DataFrame:
-    rows = dense_rows(spark, d)
+def dense_scored(rows: DataFrame) -> DataFrame:
+    """Prices of the test rows by boosted trees on the standardised label."""
     moments = publish(stats.global_moments(rows.where(is_train()), "log_price"), "moments")
     target = encode.standardize(rows, moments, "log_price", "z")
     model = models.dense_price(target.where(is_train()), label="z")
@@ -124,17 +140,84 @@ def dense_price(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
+def dense_price(spark: SparkSession, d: str) -> DataFrame:
+    return dense_scored(dense_rows(spark, d))
+
+
+EVERY_TEST_LISTING = over("test", "SELECT listing_id, TRUE AS same FROM test")
+
+
+@query(EVERY_TEST_LISTING)
 def score_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The fitted model is stored and applied to unseen rows by a reader of the stored model."""
+    """The fitted model is stored; a reader of the stored model prices the unseen rows batch by
+    batch. ``same``: the price equals that of the model in hand over all rows at once."""
     rows = dense_rows(spark, d)
     path = fresh_path(spark, "model")
-    models.dense_price(rows.where(is_train()), max_iter=10).write().save(path)
-    return scored(PipelineModel.load(path), models.with_condition(rows))
+    model = models.dense_price(rows.where(is_train()))
+    model.write().save(path)
+    stored, test = PipelineModel.load(path), models.with_condition(rows.where(is_test()))
+    batches = [test.where(encode.hash_percent(F.col("listing_id")) % 4 == i) for i in range(4)]
+    found = stats.union_splits(*[models.score(stored, batch) for batch in batches])
+    whole = models.score(model, test, "whole")
+    return found.join(whole, "listing_id").select(
+        "listing_id", (F.col("prediction") == F.col("whole")).alias("same")
+    )
 
 
-@query()
+SWEEP_STEPS, SWEEP_ITERS = [0.1, 0.3], [5, 20]
+
+
+@query(
+    "SELECT s.step, i.iters, TRUE AS finite FROM (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS step) s, "
+    "(SELECT unnest([5::INT, 20::INT]) AS iters) i"
+)
 def schedule_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return models.schedule_sweep(dense_rows(spark, d).where(is_train()), [0.1, 0.3], [3, 6])
+    """The grid of step sizes and rounds, each fitted on the training fold (encodings too) and
+    measured on the fold held out by hash."""
+    folds = encode.train_valid_split(inputs.train(spark, d))
+    fitted = encode.fit_dense(folds.where("fold = 'train'"))
+    keep = ["listing_id", "fold", "item_condition_id", "shipping", "price", "log_price", *encode.DENSE]
+    rows = publish(fitted.apply(folds).select(*keep), "folds")
+    errors = models.schedule_sweep(
+        rows.where("fold = 'train'"), rows.where("fold = 'valid'"), SWEEP_STEPS, SWEEP_ITERS
+    )
+    finite = F.col("rmsle").isNotNull() & ~F.isnan("rmsle") & (F.col("rmsle") < 10)
+    return errors.select("step", "iters", finite.alias("finite"))
+
+
+# ---- the price list ---------------------------------------------------------------------------
+
+
+@query(
+    over("listings", "SELECT listing_id, TRUE AS sound, TRUE AS is_blend FROM listings WHERE split = 'test'")
+)
+def blended_prices(spark: SparkSession, d: str) -> DataFrame:
+    """All three models, blended as prices, with the fallback, written as CSV and read back.
+
+    ``sound``: the price read is a number and not negative. ``is_blend``: it is the weighted mean of
+    the models' own prices, as far as they have one, to four digits.
+    """
+    weights = {"linear": 0.10, "dense": 0.60, "fm": 0.30}
+    vectors = linear_vectors(spark, d)
+    parts = {
+        "linear": scored(models.sparse_linear_price(learned(vectors)), vectors),
+        "fm": scored(models.fm_price(learned(vectors)), vectors),
+        "dense": dense_scored(dense_rows(spark, d)),
+    }
+    stored = {k: publish(v.select("listing_id", F.col("prediction").alias(k)), k) for k, v in parts.items()}
+    wanted = fixtures.listings(spark, d).where(is_test()).select("listing_id")
+    joined = publish(encode.join_predictions(wanted, *stored.values(), how="left"), "parts")
+    price = clean.fallback_price(clean.clip_negative(encode.blend(weights)), FALLBACK_PRICE)
+    path = src.write_predictions(joined.select("listing_id", price.alias("price")), fresh_path(spark, "prices"))
+    read = src.read_predictions(spark, path)
+    mean = sum((F.greatest(F.expm1(F.col(k)), F.lit(-1.0)) * w for k, w in weights.items()), F.lit(0.0))
+    again = F.greatest(F.coalesce(mean, F.lit(FALLBACK_PRICE)), F.lit(0.0))
+    both = read.join(joined, "listing_id")
+    return both.select(
+        "listing_id",
+        (F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") >= 0)).alias("sound"),
+        (F.abs(F.col("price") - again) < 1e-4).alias("is_blend"),
+    )
 
 
 # ---- streams ----------------------------------------------------------------------------------
@@ -158,11 +241,12 @@ def stream_features(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(sink).select("listing_id", *rounded(*encode.DENSE))
 
 
-@query()
+@query(EVERY_TEST_LISTING)
 def stream_score(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of arriving listings, against those of one batch over all of them (``same``)."""
     fitted = encode.fit_dense(inputs.train(spark, d))
     train = publish(fitted.apply(inputs.train(spark, d)), "dense")
-    model = models.dense_price(train, max_iter=10)
+    model = models.dense_price(train)
 
     def price(batch: DataFrame) -> DataFrame:
         rows = models.with_condition(fitted.apply(clean.fill_missing_dense(batch)))
@@ -172,4 +256,8 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
         )
 
     sink = scoring.stream_score(spark, arriving(spark, d, 3), price)
-    return src.read_predictions(spark, f"{sink}/batch=*")
+    streamed = src.read_predictions(spark, f"{sink}/batch=*")
+    whole = price(fixtures.listings(spark, d).where(is_test())).withColumnRenamed("price", "whole")
+    return streamed.join(whole, "listing_id").select(
+        "listing_id", (F.abs(F.col("price") - F.col("whole")) < 1e-6).alias("same")
+    )
