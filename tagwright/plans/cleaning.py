@@ -10,7 +10,7 @@ from tagwright.operators import clean, stats
 from tagwright.operators import encode
 from tagwright.operators.lookup import lookup_join
 from tagwright.plans import inputs
-from tagwright.plans.oracles import normalized, over, plain, tokenized, units
+from tagwright.plans.oracles import normalized, over, plain, scaled, tokenized, units
 from tagwright.plans.registry import query
 from tagwright.sources import fixtures
 from tagwright.sources import listings as src
@@ -358,27 +358,41 @@ def char_codes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+RATIOS = {"mean_len_words": "n_words", "mean_upper": "n_upper", "mean_alpha": "n_alpha"}
+RATIO_COLUMNS = [f"{t}_{r}" for t in ("name", "item_description") for r in RATIOS]
+
+
+def _ratio_sql(t: str, ratio: str) -> str:
+    counted = {
+        "n_words": f"len(list_filter(string_split_regex({t}, '[\\s\\p{{Z}}]+'), lambda w: w <> ''))",
+        "n_upper": f"length(regexp_replace({t}, '[^\\p{{Lu}}]', '', 'g'))",
+        "n_alpha": f"length(regexp_replace({t}, '[^\\p{{L}}]', '', 'g'))",
+    }
+    return f"coalesce(length({t}) / nullif({counted[RATIOS[ratio]]}, 0)::DOUBLE, 0)"
+
+
 @query(
     over(
         "filled",
-        f"""SELECT listing_id,
-            round(coalesce(length(name) / nullif(length(regexp_replace(name, '[^\\p{{Lu}}]', '', 'g')), 0)::DOUBLE, 0), 6)
-              AS per_upper,
-            round((coalesce(length(name) / nullif(length(regexp_replace(name, '[^\\p{{Lu}}]', '', 'g')), 0)::DOUBLE, 0) - lo)
-              / (CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END) * 2.0 - 1.0, 6) AS scaled
-            FROM filled, bounds""",
-        bounds="""SELECT min(r) AS lo, max(r) AS hi FROM (SELECT coalesce(length(name)
-            / nullif(length(regexp_replace(name, '[^\\p{Lu}]', '', 'g')), 0)::DOUBLE, 0) AS r
-            FROM filled WHERE split = 'train')""",
+        "SELECT listing_id, "
+        + ", ".join(f"round({scaled(c, f'lo_{c}', f'hi_{c}')}, 6) AS {c}" for c in RATIO_COLUMNS)
+        + " FROM ratios, bounds",
+        ratios="SELECT listing_id, split, "
+        + ", ".join(f"{_ratio_sql(t, r)} AS {t}_{r}" for t in ("name", "item_description") for r in RATIOS)
+        + " FROM filled",
+        bounds="SELECT "
+        + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in RATIO_COLUMNS)
+        + " FROM ratios WHERE split = 'train'",
     )
 )
 def length_ratio_norm(spark: SparkSession, d: str) -> DataFrame:
-    ratio = tx.text_stats(F.col("name"))["mean_upper"]
-    rows = inputs.filled(spark, d).select("listing_id", "split", ratio.alias("per_upper"))
-    ranges = stats.min_max(rows.where("split = 'train'"), ["per_upper"])
-    low, high = (ranges.select(f"per_upper_{s}").scalar() for s in ("min", "max"))
-    return rows.select(
-        "listing_id",
-        F.round("per_upper", 6).alias("per_upper"),
-        F.round(stats.scaled(F.col("per_upper"), low, high), 6).alias("scaled"),
+    """The three ratios of both texts, scaled by their ranges on training rows."""
+    rows = inputs.filled(spark, d)
+    measured = {t: tx.text_stats(F.col(t)) for t in ("name", "item_description")}
+    ratios = publish(
+        rows.select("listing_id", "split", *[measured[t][r].alias(f"{t}_{r}") for t in measured for r in RATIOS]),
+        "ratios",
     )
+    ranges = publish(stats.min_max(ratios.where("split = 'train'"), RATIO_COLUMNS), "ranges")
+    out = encode.minmax_scale(ratios, ranges, RATIO_COLUMNS)
+    return out.select("listing_id", *[F.round(c, 6).alias(c) for c in RATIO_COLUMNS])
