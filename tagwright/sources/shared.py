@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path nobody has used yet, so that reruns and concurrent jobs never collide."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Everything published inside the block is deleted when it ends, also after an error.
+
+    Results read from published tables, so write what is to stay (to a path of your own) inside.
+    """
+    owned: list[str] = []
+    before = _owned.set(owned)
+    try:
+        yield
+    finally:
+        _owned.reset(before)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in owned:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def publish(df: DataFrame, label: str) -> DataFrame:

@@ -43,6 +43,20 @@ def test_shared_dir_is_the_cluster_setting(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+def test_scratch_deletes_what_was_published(spark, tmp_path):
+    import os
+
+    from tagwright.sources.shared import scratch
+
+    kept = publish(spark.range(3), "kept")
+    with scratch(spark):
+        gone = publish(spark.range(5), "gone")
+        place = gone.inputFiles()[0]
+        gone.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5 and kept.count() == 3
+    assert not os.path.exists(place.removeprefix("file://"))
+
+
 def test_tsv_edge_cases(spark):
     path = fresh_path(spark, "tsv")
     text = 'listing_id\tname\tbrand_name\n1\t"a ""q"" b"\t\n2\tNA\tnan\n4\t"x\ty\nz"\tB\n'
