@@ -21,6 +21,47 @@ def query(fn):
     return fn
 
 
+# Where DuckDB can say the same. The others need fitted models, 64-bit hashes, tokenizers or the
+# position of every match, and are tested against brute force.
+ORACLES["op2_quality_rules"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM windows CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)
+  WHERE times > 1 GROUP BY 1),
+s AS (
+  SELECT w.*, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN covered c USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * n_symbols <= 20 * n_words AND 2 * n_dup_lines <= len(lines)
+    AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+    AND 100 * len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{L}'))) <= 50 * n_words
+    AND 100 * len(list_filter(words, lambda x: regexp_matches(x, '^[^\p{Ll}]*\p{Lu}{2}[^\p{Ll}]*$'))) <= 50 * n_words AS kept
+FROM f"""
+
+ORACLES["op5_maxscore_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
