@@ -120,7 +120,8 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_
     if not total:
         return [Estimate(r.name, 0.0, 0.0) for r in rules]
     drawn = docs.select("text").sample(fraction=min(1.0, rows / total), seed=seed)
-    sample = publish(drawn.coalesce(4), "quality-sample")
+    # The few rows drawn are moved together; the scan they come from keeps all its tasks.
+    sample = publish(drawn.repartition(4), "quality-sample")
 
     def timed(condition: Callable[[Column, Column], Column]) -> tuple[float, int]:
         text = F.coalesce(F.col("text"), F.lit(""))
