@@ -14,7 +14,7 @@ from html import unescape
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.operators.lookup import lookup_join
@@ -220,11 +220,11 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def winners(cast: DataFrame) -> DataFrame:
-    """``(host, winner, pages)``: each host's path of greatest weight (ties: more pages, then name)."""
-    best = Window.partitionBy("host").orderBy(F.desc("weight"), F.desc("pages"), "path")
-    total = Window.partitionBy("host")
-    ranked = cast.withColumn("rank", F.row_number().over(best)).withColumn("n", F.sum("pages").over(total))
-    return ranked.where("rank = 1").select("host", F.col("path").alias("winner"), F.col("n").alias("pages"))
+    """``(host, winner, pages)``: each host's path of greatest weight (ties: more pages, then name).
+    One partial aggregation, however many paths a host has."""
+    best = F.max(F.struct("weight", "pages", "path"))
+    found = cast.groupBy("host").agg(best.alias("best"), F.sum("pages").alias("n"))
+    return found.select("host", F.col("best.path").alias("winner"), F.col("n").alias("pages"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
