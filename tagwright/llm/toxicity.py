@@ -1,8 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 Features are a document's words and the first ``PREFIXES`` letters of its words. Those are kept that
-come with toxic labels far more often than without (a signed likelihood-ratio test over all labelled
-documents). One weight vector is shared by all thresholds:
+come with toxic labels far more often than without (a signed likelihood-ratio test on the documents
+fitted on, of which there are at most ``2 * FIT_DOCUMENTS``). One weight vector is shared by all thresholds:
 ``P(grade <= k) = sigmoid(threshold_k - weights . x)``.
 
 Labels only say toxic or not. A toxic document's grade 1..``GRADES`` is how often the kept features
@@ -30,7 +30,7 @@ PREFIXES = (4, 5, 6, 7)
 MAX_FEATURES = 4096
 MIN_DOCUMENTS = 4
 MIN_RATIO = 30.0
-# Labelled documents the model is fitted on: this many of each label at most, by hash of the id.
+# Labelled documents that features and weights are fitted on: this many of each label at most.
 FIT_DOCUMENTS = 20_000
 # Occurrences of kept features from which a toxic document has grade 2, 3, ...
 GRADE_EDGES = (2, 4)
@@ -66,8 +66,7 @@ def _exploded(labelled: DataFrame) -> DataFrame:
 def choose_features(labelled: DataFrame, limit: int = MAX_FEATURES) -> list[str]:
     """The features that mark toxic documents, by falling likelihood ratio (ties by name).
 
-    Counts cover all labelled documents and are summed before the shuffle; what comes back is at
-    most ``limit`` names.
+    Counts are summed before the shuffle; what comes back is at most ``limit`` names.
     """
     totals = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not totals[0] or not totals[1]:
@@ -159,14 +158,18 @@ def _minimise(rows, columns, values, grades, size: int, steps: int = 1000, penal
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> OrdinalModel:
-    """Features from all labelled documents, weights from a bounded sample of them.
+    """Features and weights from a bounded sample of the labelled documents: of each label the
+    ``limit`` with the least hash of their id.
 
-    Labels other than 0 and 1 and labels without a document do not count. Of each label the ``limit``
-    documents with the least hash of their id are fitted on; only their counts of kept features come
-    to the driver. Without documents of both labels nothing is toxic.
+    The sample's ids are bounded, so they are broadcast and no text is shuffled. Labels other than 0
+    and 1 and labels without a document do not count; a document labelled both ways is toxic.
+    Without documents of both labels nothing is toxic.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = publish(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id"), "labelled")
+    drawn = [known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for x in (0, 1)]
+    sample = publish(drawn[0].unionByName(drawn[1]), "labels")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    labelled = publish(texts.join(F.broadcast(sample), "doc_id"), "labelled")
     chosen = choose_features(labelled)
     if not chosen:
         return OrdinalModel((), (), tuple(30.0 + k for k in range(GRADES)))
@@ -178,13 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Ordin
             lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["toxic", "features", "counts"])
 
-    share = labelled.groupBy("toxic").count().collect()
-    fraction = {r[0]: min(1.0, limit / r[1]) for r in share}
-    hashed = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    sample = labelled.where(
-        hashed < F.when(F.col("toxic") == 1, F.lit(fraction.get(1, 1.0))).otherwise(F.lit(fraction.get(0, 1.0)))
-    )
-    rows = sample.select("toxic", "text").mapInArrow(
+    rows = labelled.select("toxic", "text").mapInArrow(
         kept, "toxic int, features array<string>, counts array<int>"
     ).collect()
     counts = [Counter(dict(zip(r[1], r[2]))) for r in rows]
