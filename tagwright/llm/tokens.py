@@ -31,23 +31,37 @@ class Memory(dict):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def turn(self) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        self.turn()
         found = self.old.get(key)
         if found is None:
             found = self.compute(key)
         self[key] = found
         return found
 
+    def all_of(self, keys: list[str]) -> list[bytes]:
+        """The results of many distinct keys; the young generation may outgrow its limit by them."""
+        self.turn()
+        found, old, compute = list(map(self.get, keys)), self.old, self.compute
+        for i, known in enumerate(found):
+            if known is None:
+                key = keys[i]
+                known = old.get(key)
+                found[i] = self[key] = compute(key) if known is None else known
+        return found
+
 
 class CachedEncoder:
     """Ids of whole texts.
 
     ``of_pretoken`` gives the little-endian id bytes (``width`` per id) of one pre-token, ``split``
     cuts a text into pre-tokens, and ``whole`` (if given) encodes texts with characters outside
-    ``PLAIN``. At most ``2 * limit`` results of either kind are remembered.
+    ``PLAIN``. About ``2 * limit`` results of either kind are remembered at most.
     """
 
     def __init__(self, of_pretoken, split, whole=None, width: int = 4, limit: int = 200_000):
@@ -95,7 +109,7 @@ class CachedEncoder:
             lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
             coded = lists.flatten().dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(blobs)
-            blobs.extend(map(self.pieces.__getitem__, coded.dictionary.to_pylist()))
+            blobs.extend(self.pieces.all_of(coded.dictionary.to_pylist()))
             edges = lists.offsets.to_numpy()
             for i, at in enumerate(starts):
                 numbers[at] = codes[edges[i] : edges[i + 1]]
@@ -107,7 +121,8 @@ class CachedEncoder:
         pieces = np.concatenate(numbers)
         size = sizes[pieces]
         ends = np.cumsum(size)
-        ids = known[np.repeat(where[pieces] - (ends - size), size) + np.arange(ends[-1])]
+        step = np.int32 if max(len(known), ends[-1]) < 1 << 31 else np.int64
+        ids = known[np.repeat((where[pieces] - (ends - size)).astype(step), size) + np.arange(ends[-1], dtype=step)]
         last = np.cumsum([len(n) for n in numbers])[np.array(lengths) - 1] - 1
         return ids, np.diff(ends[last], prepend=0)
 
