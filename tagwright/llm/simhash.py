@@ -159,13 +159,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the row with the least ``doc_id``.
 
-    Rows that repeat a ``doc_id`` count as copies of one document: the first by hash of the row stays.
+    Rows that repeat a ``doc_id`` count as copies of one document, of which any one stays.
     Rows without ``doc_id`` cannot be told apart and all stay.
     """
-    found = near_duplicates(docs, radius)
-    kept = publish(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    repeated = publish(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    stay = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    once = stay.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    again = stay.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    counted = near_duplicates(docs, radius).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")
+    )
+    kept = publish(counted.where("first").drop("first"), "kept")
+    # Texts are dealt by id once, at every size alike (ids of what is kept grow with the input and are
+    # never broadcast); the second join reads the same shuffle and has the repeated ids only.
+    single, repeated = (kept.where(w).select("doc_id").hint("shuffle_hash") for w in ("rows = 1", "rows > 1"))
+    once = docs.join(single, "doc_id", "left_semi")
+    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    parts = [once, again, docs.where("doc_id IS NULL")]
+    return parts[0].select(*docs.columns).unionByName(parts[1].select(*docs.columns)).unionByName(parts[2])
