@@ -84,8 +84,9 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links within one block: each print is compared with those
-    not reached yet, so a tight block costs few comparisons and gives fewer edges than members."""
-    left, edges = np.unique(prints), []
+    not reached yet, so a tight block costs few comparisons and gives fewer edges than members.
+    Bits are counted unsigned: numpy counts those of the absolute value of a signed number."""
+    left, edges = np.unique(prints).view(np.uint64), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -93,7 +94,7 @@ def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
             near = np.bitwise_count(left ^ at) <= radius
             if near.any():
                 reached = left[near]
-                edges.extend((int(at), int(x)) for x in reached)
+                edges.extend((int(at.view(np.int64)), int(x)) for x in reached.view(np.int64))
                 queue.extend(reached)
                 left = left[~near]
     return edges

@@ -45,6 +45,26 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, block):
     assert root == want
 
 
+def test_large_buckets_count_the_upper_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", 4)
+    rng = np.random.default_rng(4)
+    low = [sum(1 << int(b) for b in rng.choice(60, n % 4, replace=False)) for n in range(80)]
+    prints = {1 << 30 ^ upper << 60 ^ x for upper in (0b0000, 0b1111) for x in low}  # two families 4 bits apart
+    signed = {p - (p >> 63 << 64): p for p in prints}
+    assert min(signed) < 0 < max(signed)
+    frame = spark.createDataFrame([(p,) for p in sorted(signed)], "fingerprint long")
+    found = components(simhash.links(frame), "a", "b").collect()
+    assert {p: p for p in signed} | {r.node: r.root for r in found} == brute.classes(signed)
+
+
+@pytest.mark.parametrize("bits", [(63, 5), (63, 62, 61), (60, 61, 62, 63), (63,), (63, 0, 1, 2)])
+def test_forest_counts_all_64_bits(bits):
+    for at in (5, -(1 << 63), -1):
+        other = int(np.int64(at) ^ np.array(sum(1 << b for b in bits), np.uint64).view(np.int64))
+        edges = simhash._forest(np.array([at, other]), 3)
+        assert {frozenset(e) for e in edges} == ({frozenset((at, other))} if len(bits) <= 3 else set())
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(60)]
     hub = [(1000, 1000 + i) for i in range(1, 200)]
