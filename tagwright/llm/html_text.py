@@ -49,6 +49,16 @@ BOILER_WORDS = set(
 )
 # Only outside an article: what is so named inside holds its headline.
 OUTER_WORDS = {"header", "heading"}
+# What else may be in a name of boilerplate ("share-bar", "site-footer"). Any other word makes the name
+# one of something else ("no-sidebar", "search-results").
+NEUTRAL_WORDS = set(
+    "area bar block box button buttons col column container form group icon icons inner item items left links list "
+    "main outer panel post posts primary right secondary section site slot top bottom unit wrap wrapper wp".split()
+)
+# Elements that hold the page: their names say how it is laid out.
+NEVER_NAMED = {"html", "body", "main", "article"}
+# A mark on an element with this share of the page's unlinked text does not count.
+NEARLY_ALL = 0.9
 MAX_DEPTH = 64
 
 
@@ -65,10 +75,14 @@ class Block(NamedTuple):
 
 
 class _Open(NamedTuple):
+    """``hard`` is what boilerplate tags say; ``marks`` are the elements around, by number, that a name
+    (or being a form) marks as boilerplate."""
+
     tag: str
     path: str
     article: str
-    boiler: bool
+    hard: bool
+    marks: tuple[int, ...]
     depth: int
 
 
@@ -76,19 +90,46 @@ def _attribute(match: tuple[str, ...]) -> str:
     return next((x for x in match if x), "").lower()
 
 
-def _opened(tag: str, attributes: str, outer: _Open) -> _Open:
+def _named(name: str, words: set[str]) -> bool:
+    """Whether a class, id or role is made of ``words`` and neutral words only."""
+    parts = {p for p in _WORD.findall(name) if len(p) > 1}
+    return bool(parts & words) and parts <= words | NEUTRAL_WORDS
+
+
+def _opened(tag: str, attributes: str, outer: _Open, number: int) -> _Open:
     classes = _attribute(found.groups()) if attributes and (found := _CLASS.search(attributes)) else ""
-    words = set()
-    if attributes:
-        for found in _NAMES.findall(attributes):
-            words.update(_WORD.findall(_attribute(found)))
-    boiler = outer.boiler or tag in BOILER_TAGS or bool(words & BOILER_WORDS)
+    hard = outer.hard or (tag in BOILER_TAGS and tag != "form")
+    words = BOILER_WORDS
     if not outer.article:
-        boiler = boiler or tag == "header" or bool(words & OUTER_WORDS)
+        hard = hard or tag == "header"
+        words = BOILER_WORDS | OUTER_WORDS
+    marks = outer.marks
+    if len(marks) < MAX_DEPTH and tag not in NEVER_NAMED:
+        names = [n for found in _NAMES.findall(attributes or "") for n in _attribute(found).split()]
+        if tag == "form" or any(_named(n, words) for n in names):
+            marks = (*marks, number)
     step = ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in classes.split())])
     path = f"{outer.path}/{step}" if outer.depth < MAX_DEPTH else outer.path
-    article = outer.article or (path if tag in ("article", "main") and not boiler else "")
-    return _Open(tag, path, article, boiler, outer.depth + 1)
+    article = outer.article or (path if tag in ("article", "main") else "")
+    return _Open(tag, path, article, hard, marks, outer.depth + 1)
+
+
+def _judged(found: list[tuple[Block, tuple[int, ...]]]) -> list[Block]:
+    """The blocks with what their marks say. Marks on elements that hold nearly all unlinked text do
+    not count, nor do any if everything was marked (then boilerplate tags do not either)."""
+    held: dict[int, int] = defaultdict(int)
+    total = 0
+    for b, marks in found:
+        if not b.boiler:
+            worth = len(b.text) - b.links
+            total += worth
+            for m in marks:
+                held[m] += worth
+    count = {m for m, n in held.items() if not total or n < NEARLY_ALL * total}
+    out = [b._replace(boiler=True) if not count.isdisjoint(marks) else b for b, marks in found]
+    if all(b.boiler for b in out):
+        out = [b for b, _ in found]
+    return [b._replace(boiler=False) for b in out] if all(b.boiler for b in out) else out
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -97,8 +138,8 @@ def blocks(html: str | None) -> list[Block]:
     Character references are decoded, white space within a block (line breaks too) becomes one
     space. Open elements that never end and ends without a start are borne.
     """
-    out: list[Block] = []
-    stack = [_Open("", "", "", False, 0)]
+    out: list[tuple[Block, tuple[int, ...]]] = []
+    stack = [_Open("", "", "", False, (), 0)]
     parts: list[str] = []
     links, in_link, in_leaf = 0, 0, False
     html = html or ""
@@ -110,7 +151,7 @@ def blocks(html: str | None) -> list[Block]:
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, top.path, top.article, min(links, len(text)), top.boiler))
+                out.append((Block(text, top.path, top.article, min(links, len(text)), top.hard), top.marks))
             parts.clear()
         links = 0
 
@@ -147,10 +188,10 @@ def blocks(html: str | None) -> list[Block]:
                 leaf_boiler = None
             in_link = 0
             if not closing and attributes:
-                inner = _opened(tag, attributes, stack[-1])
-                if inner.boiler and not stack[-1].boiler:
+                inner = _opened(tag, attributes, stack[-1], at)
+                if inner.marks != stack[-1].marks:
                     leaf_boiler = stack
-                    stack = [*stack, stack[-1]._replace(boiler=True)]
+                    stack = [*stack, stack[-1]._replace(marks=inner.marks)]
         elif tag in CONTAINERS:
             flush()
             if leaf_boiler is not None:
@@ -159,14 +200,14 @@ def blocks(html: str | None) -> list[Block]:
             in_link = 0
             if not closing:
                 if not attributes.endswith("/") or tag in ("div", "article", "section"):
-                    stack.append(_opened(tag, attributes, stack[-1]))
+                    stack.append(_opened(tag, attributes, stack[-1], at))
             else:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         del stack[i:]
                         break
     flush()
-    return out
+    return _judged(out)
 
 
 def best_path(found: list[Block]) -> tuple[str, float]:

@@ -159,6 +159,25 @@ def test_host_consensus_overrules_a_page(spark):
     assert got[9] == "brief story\nbrief story"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single no-sidebar'>{}</body>",
+        "<body class='has-sidebar'><div id=page class='with-sidebar'>{}</div></body>",
+        "<body><main class='search-results'>{}</main></body>",
+        "<body><article class='post related-posts-off'>{}</article></body>",
+        "<body><div class=widget>{}</div></body>",
+        "<body><form id=form1>{}</form></body>",
+        "<body><nav>{}</nav></body>",
+    ],
+)
+def test_names_of_the_page_do_not_mark_it(page):
+    inner = "<p>" + "plain words " * 20 + "</p><div class=sidebar>side</div><p class='share-bar'>share</p>"
+    found = html_text.blocks(page.format(inner))
+    text = html_text.text_below(found, html_text.best_path(found)[0])
+    assert text.startswith("plain words") and ("<nav>" in page or "\n" not in text)
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
