@@ -64,14 +64,15 @@ MAX_DEPTH = 64
 
 class Block(NamedTuple):
     """Text of one block, the path of the container it is in, the path of the outermost article or
-    main element around it (empty: none), how many of its characters are links, and whether it is
-    boilerplate."""
+    main element around it (empty: none), how many of its characters are links, whether it is
+    boilerplate, and whether it is a first-level heading."""
 
     text: str
     path: str
     article: str
     links: int
     boiler: bool
+    title: bool
 
 
 class _Open(NamedTuple):
@@ -141,7 +142,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[tuple[Block, tuple[int, ...]]] = []
     stack = [_Open("", "", "", False, (), 0)]
     parts: list[str] = []
-    links, in_link, in_leaf = 0, 0, False
+    links, in_link, in_title = 0, 0, False
     html = html or ""
 
     def flush() -> None:
@@ -151,7 +152,7 @@ def blocks(html: str | None) -> list[Block]:
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
                 top = stack[-1]
-                out.append((Block(text, top.path, top.article, min(links, len(text)), top.hard), top.marks))
+                out.append((Block(text, top.path, top.article, min(links, len(text)), top.hard, in_title), top.marks))
             parts.clear()
         links = 0
 
@@ -183,6 +184,7 @@ def blocks(html: str | None) -> list[Block]:
             at = close.end() if close else end
         elif tag in LEAVES:
             flush()
+            in_title = tag == "h1" and not closing
             if leaf_boiler is not None:
                 stack = leaf_boiler
                 leaf_boiler = None
@@ -194,6 +196,7 @@ def blocks(html: str | None) -> list[Block]:
                     stack = [*stack, stack[-1]._replace(marks=inner.marks)]
         elif tag in CONTAINERS:
             flush()
+            in_title = False
             if leaf_boiler is not None:
                 stack = leaf_boiler
                 leaf_boiler = None
@@ -210,26 +213,42 @@ def blocks(html: str | None) -> list[Block]:
     return _judged(out)
 
 
+def _worth(b: Block) -> int:
+    """Unlinked characters less what links weigh; 0 for boilerplate."""
+    return 0 if b.boiler else max(0, len(b.text) - 3 * b.links)
+
+
+def _around(path: str) -> Iterator[str]:
+    """The path itself and those of all containers around it."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+    yield ""
+
+
 def best_path(found: list[Block]) -> tuple[str, float]:
     """The container a page votes for, and with what weight; an empty path if it has no text.
 
-    Text in an article or main element speaks for the outermost one. Else a block's unlinked
-    characters count for its container and, by half, for the one around that.
+    It is the lowest container with nearly all good text (unlinked, no boilerplate) and, if the page
+    has one, the first-level heading. If there is good text in article or main elements, only that
+    counts, and the outermost such element is the lowest container.
     """
-    articles: dict[str, float] = defaultdict(float)
-    scores: dict[str, float] = defaultdict(float)
-    for b in found:
-        worth = len(b.text) - 3 * b.links
-        if b.boiler or worth <= 0:
-            continue
-        if b.article:
-            articles[b.article] += worth
-        scores[b.path] += worth
-        scores[b.path.rpartition("/")[0]] += worth / 2
-    ranked = articles or scores
-    if not ranked:
+    good = [(b, w) for b in found if (w := _worth(b))]
+    within = [(b, w) for b, w in good if b.article]
+    held: dict[str, float] = defaultdict(float)
+    direct: dict[str, float] = defaultdict(float)
+    for b, w in within or good:
+        direct[b.article or b.path] += w
+    for path, w in direct.items():
+        for around in _around(path):
+            held[around] += w
+    if not held:
         return "", 0.0
-    return max(ranked.items(), key=lambda x: (x[1], x[0]))
+    enough = NEARLY_ALL * held[""]
+    path = max((p for p, w in held.items() if w >= enough), key=lambda p: (len(p), p))
+    title = next((b.path for b, _ in within or good if b.title), path)
+    path = next(p for p in _around(path) if p == "" or title == p or title.startswith(p + "/"))
+    return path, held[path]
 
 
 def text_below(found: list[Block], path: str) -> str:

@@ -178,6 +178,21 @@ def test_names_of_the_page_do_not_mark_it(page):
     assert text.startswith("plain words") and ("<nav>" in page or "\n" not in text)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class=lead>{0}</div><div class=body>{1}</div>",
+        "<body><div class=wrapper><h1>Head</h1><div class=body>{0}{1}</div></div><div class=x><p>tiny</p></div>",
+        "<body><div class=content><section class=intro><div>{0}</div></section><section class=more><div>{1}</div></section></div>",
+        "<body><div class=list><article class=a>{0}</article><article class=b>{1}</article></div><div><p>tiny</p></div>",
+    ],
+)
+def test_no_sibling_of_the_largest_container_is_lost(page):
+    found = html_text.blocks(page.format("<p>" + "lead " * 60, "<p>" + "body " * 400))
+    text = html_text.text_below(found, html_text.best_path(found)[0])
+    assert "lead" in text and "body" in text and "tiny" not in text and ("Head" in text) == ("Head" in page)
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
