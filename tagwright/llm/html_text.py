@@ -2,7 +2,8 @@
 
 Every page scores its containers and votes for one, named by the tags and generalised classes on the
 way to it. Votes are summed per host in Spark; then each page is read again and gives the text below
-its host's winning path, without what tags or class names mark as boilerplate.
+its host's winning path (its own if it is of another template), without what tags or class names mark
+as boilerplate.
 """
 
 from __future__ import annotations
@@ -59,6 +60,8 @@ NEUTRAL_WORDS = set(
 NEVER_NAMED = {"html", "body", "main", "article"}
 # A mark on an element with this share of the page's unlinked text does not count.
 NEARLY_ALL = 0.9
+# Characters that a page's vote counts at most.
+PAGE_VOTE = 1000
 MAX_DEPTH = 64
 
 
@@ -263,51 +266,85 @@ def host_of(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``(host, path, weight, pages)``: votes of all pages, summed before they are shuffled."""
+    """``(host, path, weight, pages, seen)``: the votes of all pages, no page's above ``PAGE_VOTE``, and
+    on how many pages the path holds good text directly, summed before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [best_path(blocks(h)) for h in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([p for p, _ in best], pa.string()), pa.array([w for _, w in best], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "weight"])
+            hosts, paths, weights, voted, seen = [], [], [], [], []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = blocks(html)
+                best, weight = best_path(found)
+                direct = {b.path for b in found if _worth(b)}
+                for path in direct | {best} if weight else ():
+                    hosts.append(host)
+                    paths.append(path)
+                    weights.append(int(min(weight, PAGE_VOTE)) if path == best else 0)
+                    voted.append(int(path == best))
+                    seen.append(int(path in direct))
+            columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.string())]
+            columns += [pa.array(x, pa.int64()) for x in (weights, voted, seen)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "weight", "pages", "seen"])
 
     cast = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(
-        run, "host string, path string, weight double"
-    )
-    return cast.where("path <> ''").groupBy("host", "path").agg(
-        F.sum(F.col("weight").cast("long")).alias("weight"), F.count(F.lit(1)).alias("pages")
+        run, "host string, path string, weight long, pages long, seen long"
     )
+    return cast.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("weight", "pages", "seen")])
 
 
 def winners(cast: DataFrame) -> DataFrame:
     """``(host, winner, pages)``: each host's path of greatest weight (ties: more pages, then name).
     One partial aggregation, however many paths a host has."""
-    best = F.max(F.struct("weight", "pages", "path"))
+    best = F.max(F.when((F.col("path") != "") & (F.col("pages") > 0), F.struct("weight", "pages", "path")))
     found = cast.groupBy("host").agg(best.alias("best"), F.sum("pages").alias("n"))
     return found.select("host", F.col("best.path").alias("winner"), F.col("n").alias("pages"))
 
 
+def common(cast: DataFrame, won: DataFrame) -> DataFrame:
+    """``(host, common)``: the paths that hold good text on more than half of their host's pages. There
+    are fewer than twice as many as a page of the host has on average."""
+    at = cast.select("host", "path", "seen").where("seen > 0")
+    many = lookup_join(at, won, "host", weight="pages").where(2 * F.col("seen") > F.col("pages"))
+    return many.groupBy("host").agg(F.collect_set("path").alias("common"))
+
+
+def page_text(found: list[Block], winner: str | None, shared: list[str] | None) -> str:
+    """The text below the winner if that is most of the page's good text, not counting other
+    containers that most pages of the host have; else the text below the page's own vote."""
+    own = best_path(found)[0]
+    if winner and winner != own and (text := text_below(found, winner)):
+        inside, other, passed = 0, 0, set(shared or ())
+        for b in found:
+            if b.path == winner or b.path.startswith(winner + "/"):
+                inside += _worth(b)
+            elif b.path not in passed:
+                other += _worth(b)
+        if inside >= other:
+            return text
+    return text_below(found, own)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
-    A page without its host's winning path falls back on its own vote. Null or empty html gives an
+    A page of which its host's winning path holds too little (``page_text``) falls back on its own vote. Null or empty html gives an
     empty text, a null url counts as a host of its own kind; repeated rows are extracted each; other
     columns are not read. The winners are broadcast if measured small, else joined by shuffle with
     the heaviest hosts spread.
     """
-    won = publish(winners(votes(pages)), "host-paths")
+    cast = publish(votes(pages), "host-votes")
+    won = publish(winners(cast), "host-winners")
+    won = publish(won.join(common(cast, won), "host", "left"), "host-paths")
     rows = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"),
         host_of(F.col("url")).alias("host"),
     )
-    joined = lookup_join(rows, won, "host", weight="pages").select("page_id", "url", "html", "winner")
+    joined = lookup_join(rows, won, "host", weight="pages").select("page_id", "url", "html", "winner", "common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, winner in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = blocks(html)
-                texts.append((winner and text_below(found, winner)) or text_below(found, best_path(found)[0]))
+            rows = zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)])
+            texts = [page_text(blocks(html), winner, shared) for html, winner, shared in rows]
             columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

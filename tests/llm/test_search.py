@@ -193,6 +193,16 @@ def test_no_sibling_of_the_largest_container_is_lost(page):
     assert "lead" in text and "body" in text and "tiny" not in text and ("Head" in text) == ("Head" in page)
 
 
+def test_templates_and_one_long_page_of_a_host(spark):
+    a = "<body><div class=a><p>" + "first template " * 30 + "</p></div><div class=c><p>teaser</p></div>"
+    b = "<body><div class=a><p>a caption</p></div><div class=b><p>" + "second template " * 50 + "</p></div>"
+    c = "<body><div class=c><p>" + "odd " * 30_000 + "</p></div>"
+    pages = [(n, "http://c.example/", a if n < 6 else b if n < 8 else c) for n in range(9)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text[:6] for r in html_text.extract(frame).collect()}
+    assert got == {n: "first " if n < 6 else "second" if n < 8 else "odd od" for n in range(9)}
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
