@@ -35,14 +35,15 @@ CLASSES = [
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 3.9),
 ]
 # Explained otherwise: words and names joined by separators, numbers, paths, identifiers in one case
-# without digits, universally unique ids, digests of content ("sha256-..."), rows of one sign.
+# without digits, universally unique ids, digests of content ("sha256-...") no longer than in hex.
 ALLOWED = [
     r"^[A-Za-z]+(?:[_/+=-]+[A-Za-z]+)*[_/+=-]*$",
     r"^[0-9_/+=-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(?:sha1|sha256|sha384|sha512|md5)[-=_]",
-    r"(.)\1{7}",
+    r"^(?:md5[-=_].{0,32}|sha1[-=_].{0,40}|sha256[-=_].{0,64}|sha384[-=_].{0,96}|sha512[-=_].{0,128})$",
 ]
+# Rows of one sign. What stands between them is judged by itself.
+ROW = r"(.)\1{7,}+"
 
 
 def _log(count: Column) -> Column:
@@ -89,16 +90,30 @@ def peak_entropy(string: Column, alphabet: str, window: int = WINDOW) -> Column:
     return F.when(F.length(string) >= window, let(first, run)).otherwise(0.0)
 
 
-def random_looking(string: Column) -> Column:
-    """Whether a candidate string reaches its class's threshold and no allow-list explains it."""
+def _allowed(string: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | string.rlike(pattern)
-    over = F.when(F.lit(False), False)
-    for alphabet, bits in CLASSES:
-        inside = string.rlike("^[" + alphabet.replace("-", "") + ("-" if "-" in alphabet else "") + "]+$")
-        over = over.when(inside, peak_entropy(string, alphabet) >= bits)
-    return F.when(allowed, False).otherwise(F.coalesce(over, F.lit(False)))
+    return allowed
+
+
+def random_looking(string: Column) -> Column:
+    """Whether a candidate string reaches its class's threshold and no allow-list explains it.
+
+    A string with rows of one sign is also judged by the parts between them; as a whole it counts only
+    if some part is not explained.
+    """
+
+    def over(part: Column) -> Column:
+        found = F.when(F.lit(False), False)
+        for alphabet, bits in CLASSES:
+            inside = part.rlike("^[" + alphabet.replace("-", "") + ("-" if "-" in alphabet else "") + "]+$")
+            found = found.when(inside, peak_entropy(part, alphabet) >= bits)
+        return F.when(_allowed(part), False).otherwise(F.coalesce(found, F.lit(False)))
+
+    open_parts = F.filter(F.split(string, ROW), lambda p: (p != "") & ~_allowed(p))
+    with_rows = F.when(F.size(open_parts) > 0, F.concat(open_parts, F.array(string))).otherwise(open_parts)
+    return F.exists(F.when(string.rlike(ROW), with_rows).otherwise(F.array(string)), over)
 
 
 def _spans(kind: str, found: Column) -> Column:

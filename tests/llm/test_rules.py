@@ -74,6 +74,24 @@ def test_entropy_and_allow_list(spark):
     assert got == {1: "entropy:4:44", 2: "", 3: "", 4: ""}
 
 
+def test_rows_of_one_sign_hide_no_secret(spark):
+    key = "Xk3vQ9zLw7RtB2nYp5HsJ8dFgM4c"
+    rows = [
+        ("b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW", True),
+        ("=" * 8 + key, True),
+        (key + "_" * 40, True),
+        ("-" * 10 + "0F1E2D3C4B5A69788796" + "A5B4C3D2E1F0" + "-" * 10, True),
+        ("sha256-" + key * 5, True),
+        ("sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", False),
+        ("=" * 40, False),
+        ("-" * 10 + "some-long-name-with-words" + "-" * 10, False),
+        ("=" * 8 + "550e8400-e29b-41d4-a716-446655440000" + "=" * 8, False),
+    ]
+    frame = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: "entropy" in r.spans for r in secret_scan.scan(frame).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
 def test_quality(docs, texts):
     plan = quality.estimate(docs)
     assert {e.name for e in plan} == {r.name for r in quality.RULES}
