@@ -161,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Ordin
     """Features and weights from a bounded sample of the labelled documents: of each label the
     ``limit`` with the least hash of their id.
 
-    The sample's ids are bounded, so they are broadcast and no text is shuffled. Labels other than 0
+    The sample's ids are bounded, so they are broadcast and no text but the sample's is shuffled. Rows
+    that repeat an id count once, with the least of their texts. Labels other than 0
     and 1 and labels without a document do not count; a document labelled both ways is toxic.
     Without documents of both labels nothing is toxic.
     """
@@ -169,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Ordin
     drawn = [known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for x in (0, 1)]
     sample = publish(drawn[0].unionByName(drawn[1]), "labels")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    labelled = publish(texts.join(F.broadcast(sample), "doc_id"), "labelled")
+    drawn_rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id")
+    labelled = publish(drawn_rows.agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
     chosen = choose_features(labelled)
     if not chosen:
         return OrdinalModel((), (), tuple(30.0 + k for k in range(GRADES)))

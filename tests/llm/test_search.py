@@ -131,6 +131,15 @@ def test_toxicity_of_odd_texts(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_fits_on_one_row_of_each_document(spark):
+    rows = [(i, ("vile " if i % 2 else "kind ") + "common words") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    model = toxicity.fit(frame(rows), labels)
+    assert "vile" in model.features
+    assert toxicity.fit(frame([*rows, *[(0, "kind common words")] * 500]), labels) == model
+
+
 PAGE = (
     "<html><body><header>Site</header><div class=menu>m</div><main><article id=x class='post-{n}'><header><h1>T &amp; {n}</h1>"
     "</header><p>One<br>two &nbsp; three<p>four <a href='a>b'>link</a><div class='ad'>buy</div><p class='share-bar'>share</p>"
