@@ -4,8 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from tagwright.llm import bpe, html_text, packing, pii, quality, secret_scan, simhash, token_index, topk, toxicity
+from pyspark.sql import functions as F
+
+from tagwright.llm import (
+    bpe,
+    html_text,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    secret_scan,
+    simhash,
+    token_index,
+    topk,
+    toxicity,
+)
 from tagwright.sources.shared import publish
 
 QUERIES = {}
@@ -62,6 +75,48 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    eight = "list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0])"
+    step = "CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END"
+    data = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(0, len({data}) // 2), lambda i: CAST(concat('0x', substr({data}, 2 * i + 1, 2)) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), "
+        f"lambda c, b: list_reduce({eight}, lambda y, z: {step})), 4294967295::BIGINT)"
+    )
+
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS turns FROM t GROUP BY 1),
+heads AS (SELECT *, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 6 AS h, conv_id - (conv_id % 100 + 100) % 100 AS base FROM own),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.base),
+members AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '') AS ends
+  FROM members GROUP BY 1, 2),
+children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+facts AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children,
+    CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.path[n.depth].text) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children c ON c.path = n.path AND c.depth = n.depth),
+above AS (SELECT path, depth, n_children, saved, unnest(range(0, depth + 1)) AS up FROM facts),
+sums AS (
+  SELECT path[1:up] AS path, up AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM above GROUP BY 1, 2)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM facts f JOIN sums s ON s.path = f.path AND s.depth = f.depth
+LEFT JOIN facts p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.path = f.path[1:f.depth - 1]"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -120,3 +175,13 @@ def op9_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations share the first turns of the one at the hundred below them; how many is by a
+    checksum of their id."""
+    ids = F.col("conv_id").cast("long")
+    head = F.crc32(ids.cast("string").cast("binary")) % 6
+    records = prefix_trie.paths(table(spark, sf_dir, "conversations"), ids - F.pmod(ids, F.lit(100)), head)
+    return prefix_trie.trie(records)

@@ -118,3 +118,39 @@ def top(rows, k=5):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def rebuilt(turns):
+    """``{conv_id: [(role, text), ...]}`` of ``(conv_id, turn, role, text)`` rows without ties."""
+    own = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            own[conv].append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [x[1:] for x in sorted(ts)] for c, ts in own.items()}
+    out = {}
+    for c, mine in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - c % 100, [])[:h] + mine[h:]
+    return out
+
+
+def trie(conversations):
+    """Rows as ``op11`` has them, from ``{conv_id: [(role, text), ...]}``."""
+    members = defaultdict(list)
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    below = defaultdict(list)
+    for path in members:
+        for d in range(len(path) + 1):
+            below[path[:d]].append(path)
+    parents = Counter(p[:-1] for p in members if p)
+    rows = set()
+    for path, convs in members.items():
+        ends = ",".join(map(str, sorted(c for c in convs if len(conversations[c]) == len(path))))
+        saved = sum((len(members[p]) - 1) * len(p[-1][1]) for p in below[path] if p)
+        leaves = sum(1 for p in below[path] if not parents[p])
+        above = min(members[path[:-1]]) if path else None
+        digest = hashlib.sha256(ends.encode()).hexdigest()
+        rows.add((min(convs), len(path), above, len(convs), parents[path], leaves, saved, digest))
+    return rows
