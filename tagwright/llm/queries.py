@@ -18,6 +18,7 @@ from tagwright.llm import (
     token_index,
     topk,
     toxicity,
+    variants,
 )
 from tagwright.sources.shared import publish
 
@@ -117,6 +118,38 @@ FROM facts f JOIN sums s ON s.path = f.path AND s.depth = f.depth
 LEFT JOIN facts p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.path = f.path[1:f.depth - 1]"""
 
 
+ORACLES["op12_spelling_variants"] = f"""
+WITH r AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+      translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{6,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, times, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM r),
+w AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT times, CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2))
+      ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(times) >= 5),
+cuts AS (SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)),
+shorter AS (SELECT DISTINCT c.word AS word, c.n AS n, v.word AS near, v.n AS near_n FROM cuts c JOIN w v ON v.word = concat(c.a, c.b)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT word, near, near_n FROM shorter UNION ALL SELECT near, word, n FROM shorter),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place, count(*) OVER (PARTITION BY word) AS n_near
+  FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM w LEFT JOIN best b ON b.word = w.word AND b.place = 1),
+chain AS (
+  WITH RECURSIVE c AS (
+    SELECT word, word AS here, 0 AS d FROM formed
+    UNION ALL SELECT c.word, f.form, d + 1 FROM c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL)
+  SELECT word, arg_max(here, d) AS root FROM c GROUP BY 1)
+SELECT f.*, c.root FROM formed f JOIN chain c USING (word)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -185,3 +218,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.crc32(ids.cast("string").cast("binary")) % 6
     records = prefix_trie.paths(table(spark, sf_dir, "conversations"), ids - F.pmod(ids, F.lit(100)), head)
     return prefix_trie.trie(records)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, of which one in 199 runs of letters has lost a code point."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # Shorter runs give no word of six code points.
+    found = docs.select(key.alias("key"), F.explode(variants.runs(F.col("text").cast("string"), 6)).alias("run"))
+    found = found.withColumn("h", F.crc32(F.concat("key", F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.char_length("run")))
+    words = found.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return variants.variants(publish(variants.counted(words), "words"))

@@ -154,3 +154,39 @@ def trie(conversations):
         digest = hashlib.sha256(ends.encode()).hexdigest()
         rows.add((min(convs), len(path), above, len(convs), parents[path], leaves, saved, digest))
     return rows
+
+
+def dictionary(docs):
+    """``{word: n}`` as ``op12`` counts them, from ``(doc_id, text)`` rows."""
+    words = Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            words[run] += 1
+    return {w: n for w, n in words.items() if len(w) >= 6 and n >= 5}
+
+
+def spelled(words, ratio=5):
+    """Rows as ``op12`` has them, every word against every other."""
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    forms, rows = {}, set()
+    for w in words:
+        others = [v for v in words if abs(len(v) - len(w)) < 2 and near(v, w)]
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        forms[w] = (len(others), best if best and words[best] >= ratio * words[w] else None)
+    for w, n in words.items():
+        root = w
+        while forms[root][1]:
+            root = forms[root][1]
+        form = forms[w][1]
+        rows.add((w, n, forms[w][0], form, words.get(form), root))
+    return rows
