@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tagwright.llm import (
     bpe,
     html_text,
+    license_scan,
     packing,
     pii,
     prefix_trie,
@@ -232,3 +233,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.char_length("run")))
     words = found.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
     return variants.variants(publish(variants.counted(words), "words"))
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.report(scanned).drop("spans")

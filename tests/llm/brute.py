@@ -190,3 +190,14 @@ def spelled(words, ratio=5):
         form = forms[w][1]
         rows.add((w, n, forms[w][0], form, words.get(form), root))
     return rows
+
+
+def licensed(text):
+    """``n_words`` and the base places ``[(label, word)]`` of ``op13``."""
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+    places = []
+    for phrase, label in {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}.items():
+        own = phrase.split()
+        places += [(label, i) for i in range(len(words)) if words[i : i + len(own)] == own]
+    return words, places
