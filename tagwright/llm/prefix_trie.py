@@ -29,7 +29,7 @@ from tagwright.sources.shared import publish
 
 KEY = 16  # bytes of a node's key
 # Nodes that the records of one group may make inside a task.
-GROUP = 2048
+GROUP = 256
 # Ids that differ in these last bits only are brought together before a node's ids are read in order.
 CHUNK_BITS = 12
 NOTHING = hashlib.sha256(b"").hexdigest()

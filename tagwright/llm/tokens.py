@@ -61,12 +61,13 @@ class CachedEncoder:
 
     ``of_pretoken`` gives the little-endian id bytes (``width`` per id) of one pre-token, ``split``
     cuts a text into pre-tokens, and ``whole`` (if given) encodes texts with characters outside
-    ``PLAIN``. About ``2 * limit`` results of either kind are remembered at most.
+    ``PLAIN`` and those in which ``added`` finds something. About ``2 * limit`` results of either kind
+    are remembered at most.
     """
 
-    def __init__(self, of_pretoken, split, whole=None, width: int = 4, limit: int = 200_000):
+    def __init__(self, of_pretoken, split, whole=None, width: int = 4, limit: int = 200_000, added=None):
         self.pretokens = Memory(of_pretoken, limit)
-        self.split, self.whole, self.width = split, whole, width
+        self.split, self.whole, self.width, self.added = split, whole, width, added
         self.pieces = Memory(self._after_space, limit)
 
     def _cut(self, text: str) -> bytes:
@@ -81,6 +82,8 @@ class CachedEncoder:
 
     def _apart(self, text: str) -> bytes | None:
         """The ids of a text that must not be cut at its spaces; None if it may."""
+        if self.added and self.added(text):
+            return self.whole(text)
         if not PLAIN.fullmatch(text):
             return self._cut(text) if self.whole is None else self.whole(text)
         return self._cut(text) if WIDE_GAP.search(text) else None
@@ -173,8 +176,10 @@ _ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
 def library_encoder(path: str, width: int = 4) -> CachedEncoder:
     """An encoder on the ``tokenizers`` file at ``path``, one per process.
 
-    Strings of special tokens in a text are ordinary text. Pre-tokens are merged by the file's own
-    model; the file must describe a byte-level BPE that splits by ``public_tokenizers.PATTERN``.
+    Ids are those of the library's ``encode(text, add_special_tokens=False)``: where a text holds the
+    content of an added token, that token's id. Such texts go to the library whole; the pre-tokens of
+    others are merged by the file's own model, which must be a byte-level BPE that splits by
+    ``public_tokenizers.PATTERN``.
     """
     key = (path, width)
     if key not in _ENCODERS:
@@ -184,7 +189,8 @@ def library_encoder(path: str, width: int = 4) -> CachedEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        added = regex.compile("|".join(added)).search if added else None
         model, pattern = tokenizer.model, regex.compile(public_tokenizers.PATTERN)
 
         merge, space = model.tokenize, BYTE_CHARACTERS[0x20]
@@ -196,5 +202,5 @@ def library_encoder(path: str, width: int = 4) -> CachedEncoder:
         def whole(text: str) -> bytes:
             return packed(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, width)
 
-        _ENCODERS[key] = CachedEncoder(of_pretoken, pattern.findall, whole, width)
+        _ENCODERS[key] = CachedEncoder(of_pretoken, pattern.findall, whole, width, added=added)
     return _ENCODERS[key]

@@ -21,11 +21,21 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def ids(texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     keys = sorted(texts)
     return {k: [*e.ids, 2] for k, e in zip(keys, tokenizer.encode_batch([texts[k] for k in keys], add_special_tokens=False))}
 
 
+def test_added_tokens_in_texts():
+    """As the library has them by default, wherever they stand."""
+    tokenizer = Tokenizer.from_file(PATH)
+    encoder = tokens.library_encoder(PATH)
+    texts = ["end <|endoftext|> of text", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "é <|endoftext|> ü " * 300]
+    flat, counts = encoder.encode(texts)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(got[0]) == 5 and got[1] == [50256]
+
+
 @pytest.mark.parametrize("width,limit", [(2, 50), (4, 100_000)])
 def test_remembered_pieces_change_nothing(texts, ids, width, limit, monkeypatch):
     monkeypatch.setattr(tokens, "_ENCODERS", {})
