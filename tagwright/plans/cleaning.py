@@ -50,7 +50,7 @@ def scan_typed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(over("listings", f"SELECT {ALL} FROM listings"))
 def scan_chunked(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.schema(src.LISTING).parquet(copy_chunks(spark, written_tsv(spark, d), 2))
+    return spark.read.schema(src.LISTING).parquet(f"{copy_chunks(spark, written_tsv(spark, d), 2)}/chunk=*")
 
 
 WORD_VECTORS = """SELECT r.word, e.embedding AS vec FROM (

@@ -406,7 +406,7 @@ STACKED = f"""SELECT * FROM bag
 
 
 def document_blocks(spark: SparkSession, d: str) -> DataFrame:
-    table = fixtures.table(spark, d, "documents")
+    table = fixtures.stored_documents(spark, d, "doc_id", "text", "lang", "source")
     docs = table.select(
         F.col("doc_id").cast("string").alias("listing_id"), F.lower("text").alias("text"), "lang", "source"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -9,8 +11,14 @@ def build_session(master: str | None = None, app: str = "tagwright", **conf: str
     """Adaptive execution with skew splitting; UTC so that results do not depend on the host.
 
     ``spark.sql.shuffle.partitions`` is left to the cluster: adaptive execution coalesces
-    partitions that turn out small, so a generous number is the safe side.
+    partitions that turn out small, so a generous number is the safe side. Python workers import
+    this package: of a local session they find it where the driver does, on a cluster it is installed
+    or sent along (``--py-files``).
     """
+    if master and master.startswith("local"):
+        home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and p != home]
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *known])
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

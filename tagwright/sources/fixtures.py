@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from tagwright.functions.text import letter_words, tokenize_words
 from tagwright.operators.lookup import dense_index
+from tagwright.sources.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ITEM = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_linestatus"
+).split()
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per line item; the SQL twin is ``plans.oracles.LISTINGS``.
 
     No join is hinted: the optimizer knows each table's file size and broadcasts what is small.
     """
-    item = table(spark, sf_dir, "lineitem")
+    item = table(spark, sf_dir, "lineitem").select(ITEM)
+    item = spread(item, f"{sf_dir}/lineitem.parquet", "l_orderkey", "l_linenumber")
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -75,9 +82,13 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in the shape of long descriptions: ``(listing_id, item_description)``."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("listing_id"), F.col("text").alias("item_description")
-    )
+    docs = stored_documents(spark, sf_dir, "doc_id", "text")
+    return docs.select(F.col("doc_id").cast("string").alias("listing_id"), F.col("text").alias("item_description"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the documents."""
+    return spread(table(spark, sf_dir, "documents").select(*columns), f"{sf_dir}/documents.parquet", "doc_id")
 
 
 def probe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +99,7 @@ def probe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every letter word of the documents."""
-    texts = table(spark, sf_dir, "documents")
+    texts = stored_documents(spark, sf_dir, "doc_id", "text")
     return texts.select(F.explode(letter_words(F.col("text"))).alias("word"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwright.functions.words import NA_SPELLINGS
+from tagwright.sources.quoted import read_quoted
 
 LISTING = T.StructType(
     [
@@ -27,11 +28,7 @@ TEXT_COLUMNS = ["name", "category_name", "brand_name", "item_description"]
 
 
 def tsv_options(multi_line: bool = True) -> dict[str, str]:
-    """Quoted fields may hold tabs, newlines and doubled quotes, and blanks are kept.
-
-    A newline inside quotes means a file cannot be cut, so its rows are one task's work: give the
-    reader many files. Where no field holds a newline, ``multi_line=False`` makes files splittable.
-    """
+    """Quoted fields may hold tabs, newlines and doubled quotes, and blanks are kept."""
     return {
         "sep": "\t",
         "header": "true",
@@ -51,16 +48,22 @@ def na_to_null(df: DataFrame, columns: Sequence[str], spellings: Sequence[str] =
 
 def read_listings(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     schema: T.StructType = LISTING,
     spellings: Sequence[str] = NA_SPELLINGS,
     multi_line: bool = True,
 ) -> DataFrame:
-    raw = spark.read.options(**tsv_options(multi_line)).schema(schema).csv(path)
+    """Listings from files with a header. Quoted fields may hold newlines; all tasks read also a single
+    file (``quoted``). Where no field holds a newline, ``multi_line=False`` saves the first pass."""
+    options = tsv_options(multi_line)
+    if multi_line:
+        raw = read_quoted(spark, path, schema, options)
+    else:
+        raw = spark.read.options(**options).schema(schema).csv(path)
     return na_to_null(raw, TEXT_COLUMNS, spellings)
 
 
-def read_listings_typed(spark: SparkSession, path: str, types: dict[str, str], **kwargs) -> DataFrame:
+def read_listings_typed(spark: SparkSession, path: str | Sequence[str], types: dict[str, str], **kwargs) -> DataFrame:
     """As ``read_listings``, with some columns given another type."""
     listings = read_listings(spark, path, **kwargs)
     return listings.withColumns({c: F.col(c).cast(t) for c, t in types.items()})

@@ -11,6 +11,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# A stored table of fewer bytes than this may be dealt over all cores; it is far below what a task
+# of its own would read on a cluster's every core.
+SMALL_TABLE = 1 << 30
 _owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
@@ -67,3 +70,21 @@ def publish(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """The length of all files of a stored table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def spread(df: DataFrame, path: str, *keys: str, limit: int = SMALL_TABLE) -> DataFrame:
+    """``df``, read from ``path``, dealt over all cores by ``keys`` if its files are small.
+
+    A small file of one row group is one task, however much is to be computed from its rows. A table
+    of ``limit`` bytes or more has splits enough and is never moved.
+    """
+    spark = df.sparkSession
+    if stored_bytes(spark, path) >= limit:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
