@@ -38,7 +38,7 @@ def errors(spark, rows, found):
     return both.agg(gap(F.log1p("price")), gap(F.lit(guess))).first()
 
 
-@pytest.mark.parametrize("fit", [models.ridge_price, models.sparse_linear_price, lambda t: models.fm_price(t, max_iter=200)])
+@pytest.mark.parametrize("fit", [models.ridge_price, models.sparse_linear_price, models.fm_price])
 def test_sparse_models_find_the_signal(spark, planted, fit):
     rows = clean.split_low_price(planted)
     rows = clean.fill_missing_tag(clean.with_categories(rows))
@@ -66,6 +66,61 @@ def test_sweep_prefers_more_rounds(spark, planted):
     assert set(by_rounds) == {1, 20} and by_rounds[20] < by_rounds[1]
 
 
+def test_sweep_equals_separate_fits(spark, planted):
+    """The first trees of an ensemble are the ensemble of fewer rounds."""
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = planted.withColumn("log_price", clean.log_price(F.col("price")))
+    rows = publish(encode.fit_dense(rows.where("split = 'train'")).apply(rows), "rows")
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    got = {(r["step"], r["iters"]): r["rmsle"] for r in models.schedule_sweep(train, test, [0.1, 0.3], [2, 5]).collect()}
+    assembler = models.dense_assembler()
+    for (step, rounds), error in got.items():
+        trees = GBTRegressor(featuresCol="features", labelCol="log_price", maxIter=rounds, stepSize=step, maxDepth=5, seed=100)
+        model = trees.fit(assembler.transform(models.with_condition(train)))
+        found = model.transform(assembler.transform(models.with_condition(test))).withColumn("p", F.expm1("prediction"))
+        assert encode.rmsle(found, "price", "p").first()["rmsle"] == pytest.approx(error, abs=1e-9)
+
+
+def test_without_a_signal_the_machine_is_the_mean(spark, planted):
+    """Prices by hash: nothing to learn."""
+    noise = F.exp(F.pmod(F.xxhash64(F.lit("x"), "listing_id"), F.lit(1000)) / 200.0)
+    rows = planted.withColumn("price", noise)
+    cut = clean.fill_missing_tag(clean.with_categories(clean.split_low_price(rows)))
+    vectors = pricing.model_vectors(cut, pricing.linear_blocks(), tfidf=False, both_splits=False)
+    model, constant = errors(spark, rows, pricing.scored(models.fm_price(pricing.learned(vectors), budgets=(25, 50)), vectors))
+    assert model < 1.03 * constant
+
+
+@pytest.mark.parametrize("l1,l2,limit", [(0.02, 0.1, None), (0.0, 0.05, 0), (0.05, 0.0, None)])
+def test_coefficient_table_reaches_the_same_optimum(spark, l1, l2, limit):
+    """Against the library's solver on a small dense problem with correlated features and a listing
+    without cells; the same by broadcast and by shuffle of the coefficients."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import LinearRegression
+
+    from tagwright.operators import linear
+
+    rng = np.random.default_rng(4)
+    x = (rng.random((120, 6)) < 0.5) * rng.normal(1, 0.3, (120, 6))
+    x[:, 1] = x[:, 0] * 0.8 + (x[:, 1] > 0) * 0.3
+    x[7] = 0
+    y = 3 + x @ np.array([1.5, -1.0, 0.0, 0.6, 0.02, 0.0]) + rng.normal(0, 0.2, 120)
+    cells = spark.createDataFrame([(str(i), j, float(x[i, j])) for i in range(120) for j in range(6)], "listing_id string, index long, value double")
+    labels = spark.createDataFrame([(str(i), float(v)) for i, v in enumerate(y)], "listing_id string, label double")
+    model = linear.fit_table(cells, labels, l1, l2, passes=80, tol=1e-3, limit_bytes=limit)
+    sd = y.std(ddof=1)
+    reg = l1 + l2 * sd  # the library's L2 is in units of the label's deviation
+    dense = spark.createDataFrame([(Vectors.dense(r), float(v)) for r, v in zip(x, y)], ["features", "label"])
+    other = LinearRegression(regParam=reg, elasticNetParam=l1 / reg, standardization=False, maxIter=500, tol=1e-10).fit(dense)
+    got = {r["index"]: r["weight"] for r in model.coefficients.collect()}
+    assert np.allclose([got[j] for j in range(6)], other.coefficients.toArray(), atol=0.02)
+    assert model.intercept == pytest.approx(other.intercept, abs=0.03)
+    found = {r.listing_id: r.prediction for r in model.predict(cells, labels).collect()}
+    assert len(found) == 120 and found["7"] == pytest.approx(model.intercept)
+
+
 def test_stored_encoding_gives_the_same(spark, planted):
     rows = planted.withColumn("log_price", clean.log_price(F.col("price")))
     fitted = encode.fit_dense(rows.where("split = 'train'"), unseen="global_mean")
