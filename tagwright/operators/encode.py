@@ -114,6 +114,41 @@ def train_valid_split(df: DataFrame, percent: int = 5, seed: int = 100) -> DataF
     return df.withColumn("fold", F.when(held, "valid").otherwise("train"))
 
 
+def fold_of(key: Column, folds: int, seed: int = 7) -> Column:
+    """0..folds-1 by md5 of seed and key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("long") % folds
+
+
+def out_of_fold(
+    train: DataFrame, target: str, folds: int = 5, leaky: bool = False, keys: dict[str, str] = ENCODED
+) -> DataFrame:
+    """Training rows with their mean encodings, none of which has seen the row's own target.
+
+    One aggregation by key and fold gives both: the mean of all folds but the row's own is the total
+    less its fold's part. A value that occurs in one fold only has no such mean and gets 0, as a value
+    never seen does. ``leaky=True`` uses all rows, the row's own included.
+    """
+    placed = train.withColumn("_fold", F.lit(0) if leaky else fold_of(F.col("listing_id"), folds))
+    named = placed.select(*[F.col(k).cast("string").alias(k) for k in keys], "_fold", F.col(target).alias("_y"))
+    grouped = named.groupingSets([["_fold", k] for k in keys], "_fold", *keys).agg(
+        F.sum("_y").alias("s"), F.count(F.lit(1)).alias("n"), *[F.grouping(k).alias(f"_g_{k}") for k in keys]
+    )
+    feature = F.coalesce(*[F.when(F.col(f"_g_{k}") == 0, F.lit(k)) for k in keys])
+    key = F.coalesce(*[F.when(F.col(f"_g_{k}") == 0, F.col(k)) for k in keys])
+    parts = grouped.select("_fold", feature.alias("feature"), key.alias("_key"), "s", "n")
+    whole = parts.groupBy("feature", "_key").agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+    other = F.col("n_all") - (F.lit(0) if leaky else F.col("n"))
+    total = F.col("s_all") - (F.lit(0.0) if leaky else F.col("s"))
+    table = parts.join(whole, ["feature", "_key"]).where(other > 0)
+    table = publish(table.select("feature", "_key", "_fold", (total / other).alias("mean"), "n"), "fold-means")
+    small = fits(table)
+    for column, name in keys.items():
+        one = table.where(F.col("feature") == column).select("_key", "_fold", F.col("mean").alias(name), F.col("n").alias("_n"))
+        keyed = placed.withColumn("_key", F.col(column).cast("string"))
+        placed = lookup_join(keyed, one, ["_key", "_fold"], weight="_n", small=small or None).drop("_key", "_n")
+    return fill_unseen(placed.drop("_fold"), list(keys.values()))
+
+
 def condition_onehot5(condition: Column, depth: int = 5) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: (i == condition - 1).cast("int")

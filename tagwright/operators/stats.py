@@ -70,18 +70,22 @@ def keep_values(
     return joined.withColumn(column, F.when(F.col("_hit"), F.col(column)).otherwise(other)).drop("_hit", "_n")
 
 
-def topk_keep(
-    df: DataFrame, tops: dict[str, int], fit_on: DataFrame | None = None, skip: str = "missing"
-) -> DataFrame:
-    """Cut several columns to their most frequent values, counted on ``fit_on`` in one pass."""
-    source = (df if fit_on is None else fit_on).select(*tops)
-    counts = publish(per_key(source, list(tops), F.count(F.lit(1)).alias("n")), "counts")
+def fit_tops(df: DataFrame, tops: dict[str, int], skip: str = "missing") -> DataFrame:
+    """``(feature, key, n)``: the most frequent values of several columns, counted in one pass."""
+    counts = publish(per_key(df.select(*tops), list(tops), F.count(F.lit(1)).alias("n")), "counts")
     wanted = counts.where(F.col("key").isNotNull() & (F.col("key") != skip))
     best = [
         wanted.where(F.col("feature") == column).orderBy(F.desc("n"), F.asc("key")).limit(top)
         for column, top in tops.items()
     ]
-    kept = publish(union_splits(*best), "tops")
+    return union_splits(*best)
+
+
+def topk_keep(
+    df: DataFrame, tops: dict[str, int], fit_on: DataFrame | None = None, skip: str = "missing"
+) -> DataFrame:
+    """Cut several columns to their most frequent values, counted on ``fit_on``."""
+    kept = publish(fit_tops(df if fit_on is None else fit_on, tops, skip), "tops")
     small = fits(kept) or None
     for column in tops:
         one = kept.where(F.col("feature") == column).select(F.col("key").alias(column), "n")
@@ -89,6 +93,44 @@ def topk_keep(
     return df
 
 
+# ---- tables that grow -------------------------------------------------------------------------
+
+STATE = ["feature", "key", "total", "n", "least", "most"]
+
+
+def partial_state(df: DataFrame, target: str, keys: Sequence[str] = tuple(ENCODED)) -> DataFrame:
+    """What a chunk of rows adds to the fitted tables: sum, rows, least and most of ``target`` per value
+    of every key, ``(feature, key, total, n, least, most)``."""
+    named = df.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(target).alias("_y"))
+    y = F.col("_y")
+    return per_key(
+        named, keys, F.sum(y).alias("total"), F.count(F.lit(1)).alias("n"), F.min(y).alias("least"), F.max(y).alias("most")
+    ).select(*STATE)
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all rows together. Merging is associative and the order of chunks does not matter,
+    so a fitted table grows by its chunks' states and no row is read twice."""
+    return union_splits(*states).groupBy("feature", "key").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+
+
+def state_means(state: DataFrame) -> DataFrame:
+    """``group_means`` of the rows behind a state."""
+    return state.select("feature", "key", (F.col("total") / F.col("n")).alias("mean"), "n")
+
+
+def state_counts(state: DataFrame, column: str) -> DataFrame:
+    """``value_counts`` of one of the keys."""
+    return state.where(F.col("feature") == column).select(F.col("key").alias(column), "n")
+
+
+def state_range(state: DataFrame, column: str) -> DataFrame:
+    """``min_max`` of the target, from the values of any one key."""
+    return state.where(F.col("feature") == column).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def min_count_index(df: DataFrame, column: str, minimum: int, skip: str) -> DataFrame:
     """``(value, n, idx)``: values seen at least ``minimum`` times, numbered from 1 in order."""
     counted = value_counts(df.where(F.col(column) != skip), column).where(F.col("n") >= minimum)

@@ -248,6 +248,25 @@ def hash_vectorize(spark: SparkSession, d: str) -> DataFrame:
     return out_features(hashed_docs(spark, d))
 
 
+HASH_SIGN = "CASE WHEN CAST(concat('0x', substr(md5(g), 9, 2)) AS INT) % 2 = 1 THEN -1.0 ELSE 1.0 END"
+SIGNED_DESC = features_sql(
+    " UNION ALL ".join(
+        f"SELECT listing_id, {bucket('g', 1 << 27)} AS feature, CAST({HASH_SIGN} AS DOUBLE) AS value "
+        f"FROM (SELECT listing_id, unnest({grams('t', n)}) AS g FROM words)"
+        for n in (1, 2, 3)
+    ),
+    block="desc",
+)
+
+
+@query(over("docs", OUT + " WHERE value <> 0", words=HASH_WORDS, features=SIGNED_DESC))
+def hash_vectorize_signed(spark: SparkSession, d: str) -> DataFrame:
+    """With the sign of a second hash, so that features that share a bucket tend to cancel out."""
+    docs = fixtures.documents(spark, d).withColumn("item_description", F.lower("item_description"))
+    block = sparse.hash_vectorize("desc", F.col("item_description"), 3, signed=True)
+    return out_features(sparse.stack_blocks(docs, [block]))
+
+
 @query(
     over(
         "cats4",

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.functions.words import FALLBACK_PRICE
-from tagwright.operators import clean, encode, match, models, sparse, stats
+from tagwright.operators import clean, encode, linear, match, models, sparse, stats
+from tagwright.operators.sparse_model import SparsePricer, fit_encoding
 from tagwright.plans import inputs
 from tagwright.plans.oracles import over
 from tagwright.plans.registry import query
@@ -118,6 +119,127 @@ def fm_price(spark: SparkSession, d: str) -> DataFrame:
     return scored(models.fm_price(learned(vectors)), vectors)
 
 
+WORD_COUNTS = """SELECT listing_id, split, '{c}' AS block, unnest(list_distinct(
+    regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}'))) AS feature FROM tagged"""
+
+
+@query(
+    over(
+        "tagged",
+        """SELECT block, count(*) AS n_features, TRUE AS optimal FROM (
+             SELECT block, feature FROM cells WHERE split = 'train' GROUP BY 1, 2) GROUP BY 1""",
+        cells=" UNION ALL ".join(
+            [
+                *[WORD_COUNTS.format(c=c) for c in clean.LEVELS],
+                "SELECT listing_id, split, 'brand', brand_name FROM tagged",
+                "SELECT listing_id, split, 'cond', CAST(item_condition_id AS VARCHAR) FROM tagged",
+                "SELECT listing_id, split, 'shipping', 'shipping' FROM tagged WHERE shipping <> 0",
+            ]
+        ),
+    )
+)
+def sparse_linear_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same regression with its coefficients as a table, on category words, brand, condition and
+    shipping. Per block: its features, and whether the conditions of an optimum hold for all of them
+    (the slope of the squared error is what the penalty allows), computed from the predictions."""
+    l1, l2 = 0.001, 0.01
+    rows = inputs.tagged(spark, d).where(is_train())
+    blocks = [
+        *sparse.dummies(F.col("item_condition_id"), F.col("shipping")),
+        sparse.onehot("brand", F.col("brand_name")),
+        *[sparse.count_category_words(c, F.col(c)) for c in clean.LEVELS],
+    ]
+    long = publish(sparse.stack_blocks(rows, blocks, carry=["split"]), "features")
+    fitted = sparse.fit_features(long, 1)
+    cells = publish(sparse.indexed(long, fitted), "cells")
+    labels = publish(rows.select("listing_id", clean.log_price(F.col("price")).alias("label")), "labels")
+    model = linear.fit_table(cells, labels, l1, l2, passes=40, tol=1e-3)
+    gaps = model.predict(cells, labels).join(labels, "listing_id").select("listing_id", (F.col("prediction") - F.col("label")).alias("gap"))
+    facts = labels.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
+    slopes = cells.join(gaps, "listing_id").groupBy("index").agg((F.sum(F.col("value") * F.col("gap")) / facts["n"]).alias("slope"))
+    w, slope = F.col("weight"), F.col("slope")
+    miss = F.when(w == 0, F.abs(slope) - l1).otherwise(F.abs(slope + l2 * w + l1 * F.signum(w)))
+    near = miss < 0.01 * facts["sd"]
+    return (
+        fitted.join(model.coefficients.select("index", "weight"), "index")
+        .join(slopes, "index")
+        .groupBy("block")
+        .agg(F.count(F.lit(1)).alias("n_features"), F.every(near).alias("optimal"))
+    )
+
+
+# ---- stored sparse models ---------------------------------------------------------------------
+
+
+def as_arrived(rows: DataFrame) -> DataFrame:
+    """What is done to every listing before its sparse features are made."""
+    return clean.fill_missing_tag(clean.with_categories(rows)).fillna("missing", ["name"])
+
+
+def sparse_pricer(train: DataFrame) -> SparsePricer:
+    """Encoding and L1 + L2 regression fitted on training listings only."""
+    rows = publish(as_arrived(clean.split_low_price(train)), "sparse-train")
+    encoding = fit_encoding(rows, linear_blocks(), LINEAR_TOPS)
+    label = clean.log_price(F.col("price")).alias("log_price")
+    tagged = rows.select("*", label).where(F.col("log_price").isNotNull())
+    model = models.sparse_linear_price(encoding.apply(tagged, ["log_price"]))
+    return SparsePricer(encoding, PipelineModel(stages=[model]), as_arrived)
+
+
+EVERY_LISTING = over("listings", "SELECT listing_id, TRUE AS same FROM listings WHERE split = 'test'")
+
+
+@query(EVERY_LISTING)
+def stream_score_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse encoding and its model are stored and loaded again; arriving listings are priced file
+    by file. ``same``: the price is that of one batch over all of them."""
+    listings = fixtures.listings(spark, d)
+    path = fresh_path(spark, "pricer")
+    sparse_pricer(listings.where(is_train())).save(path)
+    pricer = SparsePricer.load(spark, path, linear_blocks(), as_arrived)
+
+    def price(batch: DataFrame) -> DataFrame:
+        found = clean.clip_negative(F.expm1("prediction"))
+        return pricer.score(batch.drop("price")).select("listing_id", clean.fallback_price(found, FALLBACK_PRICE).alias("price"))
+
+    sink = scoring.stream_score(spark, arriving(spark, d, 3), price)
+    streamed = src.read_predictions(spark, f"{sink}/batch=*")
+    whole = price(listings.where(is_test())).withColumnRenamed("price", "whole")
+    return streamed.join(whole, "listing_id").select(
+        "listing_id", (F.abs(F.col("price") - F.col("whole")) < 1e-6).alias("same")
+    )
+
+
+@query()
+def holdout_rmsle(spark: SparkSession, d: str) -> DataFrame:
+    """The error of every model on the fold of training listings held out by hash, beside that of the
+    mean of the others: ``(model, n, rmsle, constant)``. All is fitted on the other folds."""
+    folds = encode.train_valid_split(fixtures.listings(spark, d).where(is_train() & (F.col("price") > 0)), 10)
+    split = F.when(F.col("fold") == "valid", "test").otherwise("train")
+    listings = publish(folds.withColumn("split", split).drop("fold"), "folds")
+    rows = stats.topk_keep(as_arrived(clean.split_low_price(listings)), LINEAR_TOPS, as_arrived(listings.where(is_train())))
+    vectors = model_vectors(rows, linear_blocks(), tfidf=False, both_splits=False)
+    parts = {
+        "linear": scored(models.sparse_linear_price(learned(vectors)), vectors),
+        "fm": scored(models.fm_price(learned(vectors)), vectors),
+    }
+    filled = clean.fill_missing_dense(listings).withColumn("log_price", clean.log_price(F.col("price")))
+    dense = encode.fit_dense(filled.where(is_train())).apply(filled)
+    parts["dense"] = dense_scored(publish(dense, "dense"))
+    actual = listings.where(is_test()).select("listing_id", F.col("price").alias("actual"))
+    mean = listings.where(is_train()).agg(F.avg(F.log1p("price"))).scalar()
+    gap = lambda x: F.sqrt(F.avg(F.pow(x - F.log1p("actual"), F.lit(2.0))))
+    return stats.union_splits(
+        *[
+            found.join(actual, "listing_id").agg(
+                F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"),
+                F.round(gap(F.log1p("price")), 4).alias("rmsle"), F.round(gap(mean), 4).alias("constant"),
+            )
+            for name, found in parts.items()
+        ]
+    )
+
+
 # ---- dense models -----------------------------------------------------------------------------
 
 
@@ -188,22 +310,15 @@ def schedule_sweep(spark: SparkSession, d: str) -> DataFrame:
 # ---- the price list ---------------------------------------------------------------------------
 
 
-@query(
-    over("listings", "SELECT listing_id, TRUE AS sound, TRUE AS is_blend FROM listings WHERE split = 'test'")
-)
-def blended_prices(spark: SparkSession, d: str) -> DataFrame:
-    """All three models, blended as prices, with the fallback, written as CSV and read back.
+PRICE_LIST = over("listings", "SELECT listing_id, TRUE AS sound, TRUE AS is_blend FROM listings WHERE split = 'test'")
+
+
+def price_list(spark: SparkSession, d: str, weights: dict[str, float], parts: dict[str, DataFrame]) -> DataFrame:
+    """Prices blended from several models, with the fallback, written as CSV and read back.
 
     ``sound``: the price read is a number and not negative. ``is_blend``: it is the weighted mean of
     the models' own prices, as far as they have one, to four digits.
     """
-    weights = {"linear": 0.10, "dense": 0.60, "fm": 0.30}
-    vectors = linear_vectors(spark, d)
-    parts = {
-        "linear": scored(models.sparse_linear_price(learned(vectors)), vectors),
-        "fm": scored(models.fm_price(learned(vectors)), vectors),
-        "dense": dense_scored(dense_rows(spark, d)),
-    }
     stored = {k: publish(v.select("listing_id", F.col("prediction").alias(k)), k) for k, v in parts.items()}
     wanted = fixtures.listings(spark, d).where(is_test()).select("listing_id")
     joined = publish(encode.join_predictions(wanted, *stored.values(), how="left"), "parts")
@@ -220,6 +335,29 @@ def blended_prices(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(PRICE_LIST)
+def blended_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Three models: 0.10 of the linear one, 0.60 of the trees, 0.30 of the factorisation machine."""
+    vectors = linear_vectors(spark, d)
+    parts = {
+        "linear": scored(models.sparse_linear_price(learned(vectors)), vectors),
+        "fm": scored(models.fm_price(learned(vectors)), vectors),
+        "dense": dense_scored(dense_rows(spark, d)),
+    }
+    return price_list(spark, d, {"linear": 0.10, "dense": 0.60, "fm": 0.30}, parts)
+
+
+@query(PRICE_LIST)
+def blended_prices_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """Two models: 0.40 of the ridge regression, 0.60 of the trees."""
+    vectors = ridge_vectors(spark, d)
+    parts = {
+        "ridge": scored(models.ridge_price(learned(vectors)), vectors),
+        "dense": dense_scored(dense_rows(spark, d)),
+    }
+    return price_list(spark, d, {"ridge": 0.40, "dense": 0.60}, parts)
+
+
 # ---- streams ----------------------------------------------------------------------------------
 
 

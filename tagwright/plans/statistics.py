@@ -15,7 +15,8 @@ from tagwright.sources import fixtures
 from tagwright.sources.listings import is_train
 from tagwright.sources.shared import publish
 
-MEANS = list(stats.ENCODED.values())
+ENCODED = stats.ENCODED
+MEANS = list(ENCODED.values())
 ROUNDED_MEANS = ", ".join(f"round({c}, 6) AS {c}" for c in MEANS)
 
 
@@ -116,6 +117,45 @@ def group_mean(spark: SparkSession, d: str) -> DataFrame:
     return means.select("feature", "key", *rounded("mean"), "n")
 
 
+@query(over("means", "SELECT feature, key, round(mean, 6) AS mean, n FROM means"))
+def merged_means(spark: SparkSession, d: str) -> DataFrame:
+    """The means again, from the states of four chunks that are merged pair by pair, in another order."""
+    rows = inputs.train(spark, d)
+    chunk = encode.hash_percent(F.col("listing_id")) % 4
+    parts = [publish(stats.partial_state(rows.where(chunk == i), "log_price"), "state") for i in (2, 0, 3, 1)]
+    state = stats.merge_states(stats.merge_states(*parts[:2]), stats.merge_states(*parts[2:]))
+    return stats.state_means(state).select("feature", "key", *rounded("mean"), "n")
+
+
+FOLD = "CAST(concat('0x', substr(md5(concat('7:', listing_id)), 1, 8)) AS BIGINT) % 5"
+FOLD_MEANS = " UNION ALL ".join(
+    f"""SELECT '{k}' AS feature, key, fold, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS mean FROM (
+          SELECT CAST({k} AS VARCHAR) AS key, fold, sum(log_price) AS s, count(*) AS n FROM folded GROUP BY 1, 2)
+        WINDOW w AS (PARTITION BY key)"""
+    for k in ENCODED
+)
+
+
+@query(
+    over(
+        "train",
+        "SELECT f.listing_id, "
+        + ", ".join(f"round(coalesce({n}_t.mean, 0), 6) AS {n}" for n in ENCODED.values())
+        + " FROM folded f "
+        + " ".join(
+            f"LEFT JOIN fold_means {n}_t ON {n}_t.feature = '{k}' AND {n}_t.key = CAST(f.{k} AS VARCHAR) AND {n}_t.fold = f.fold"
+            for k, n in ENCODED.items()
+        ),
+        folded=f"SELECT *, {FOLD} AS fold FROM train",
+        fold_means=FOLD_MEANS,
+    )
+)
+def target_encode_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows with means that have not seen their own fold."""
+    found = encode.out_of_fold(inputs.train(spark, d), "log_price")
+    return found.select("listing_id", *rounded(*ENCODED.values()))
+
+
 @query(
     over(
         "train",

@@ -151,3 +151,40 @@ def test_ridge_equals_the_closed_form(spark):
     xc, yc = x - x.mean(0), y - y.mean()
     exact = np.linalg.solve(xc.T @ xc + 0.4 * np.eye(3), xc.T @ yc)
     assert np.allclose(model.coefficients.toArray(), exact, atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def priced(spark):
+    rows = [(str(i), f"c{i % 7}", i % 5, "rare" if i == 3 else f"b{i % 3}", i % 2, float(i % 11)) for i in range(200)]
+    return spark.createDataFrame(
+        rows, "listing_id string, category_name string, item_condition_id int, brand_name string, shipping int, log_price double"
+    )
+
+
+def test_states_of_any_chunks_merge_to_one_fit(spark, priced):
+    whole = stats.partial_state(priced, "log_price")
+    key = lambda df: sorted(map(str, df.collect()))
+    for cuts in ([1], [3, 7], [2, 2, 5, 11]):
+        state = stats.partial_state(priced.where("false"), "log_price")
+        for i, n in enumerate([*cuts, 13]):
+            rows = priced.where(F.pmod(F.xxhash64("listing_id"), F.lit(len(cuts) + 1)) == i).repartition(n)
+            state = stats.merge_states(state, stats.partial_state(rows, "log_price"))
+        assert key(state.select(whole.columns)) == key(whole)
+    means = {(r["feature"], r["key"]): r["mean"] for r in stats.state_means(whole).collect()}
+    assert means == pytest.approx({(r["feature"], r["key"]): r["mean"] for r in stats.group_means(priced, "log_price").collect()})
+    assert key(stats.state_counts(whole, "brand_name")) == key(stats.value_counts(priced, "brand_name"))
+    for column in ("brand_name", "shipping"):
+        assert stats.state_range(whole, column).first()[:] == (0.0, 10.0)
+
+
+def test_out_of_fold_means_do_not_see_their_row(spark, priced):
+    rows = {r.listing_id: r for r in encode.out_of_fold(priced, "log_price", 4).collect()}
+    folds = {r[0]: r[1] for r in priced.select("listing_id", encode.fold_of(F.col("listing_id"), 4)).collect()}
+    for r in rows.values():
+        others = [x.log_price for x in rows.values() if x.brand_name == r.brand_name and folds[x.listing_id] != folds[r.listing_id]]
+        assert r.brand_mean == pytest.approx(sum(others) / len(others) if others else 0.0)
+    assert rows["3"].brand_mean == 0.0  # its value is in its own fold only
+    leaky = {r.listing_id: r.brand_mean for r in encode.out_of_fold(priced, "log_price", leaky=True).collect()}
+    means = stats.group_means(priced, "log_price")
+    plain = encode.join_left_stats(priced, means).select("listing_id", "brand_mean").collect()
+    assert leaky == pytest.approx({r[0]: r[1] for r in plain})
