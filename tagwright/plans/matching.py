@@ -156,11 +156,3 @@ def fuzzy_suggest_two(spark: SparkSession, d: str) -> DataFrame:
     words = match.fitted_words(fixtures.dictionary_words(spark, d))
     found = match.fuzzy_suggest(fixtures.probe_words(spark, d), words, k=2, mode="all")
     return found.select("probe", "word", "freq", "dist", F.col("rank").cast("long").alias("rank"))
-
-
-@query()
-def fuzzy_suggest_three(spark: SparkSession, d: str) -> DataFrame:
-    """Within three edits, the closest suggestions; candidates by parts of words."""
-    words = match.fitted_words(fixtures.dictionary_words(spark, d))
-    found = match.fuzzy_suggest(fixtures.probe_words(spark, d), words, k=3)
-    return found.select("probe", "word", "freq", "dist", F.col("rank").cast("long").alias("rank"))
