@@ -21,6 +21,7 @@ from tagwright.plans.oracles import (
     words_of_two,
 )
 from tagwright.plans.registry import query
+from tagwright.plans.stem_oracle import stem_steps
 from tagwright.sources import fixtures
 from tagwright.sources.listings import is_test, is_train
 from tagwright.sources.shared import publish
@@ -153,7 +154,17 @@ def sentence_embedding(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("listing_id", F.col("dim").cast("long"), (F.round("value", 4) + 0.0).alias("value"))
 
 
-@query()
+@query(
+    over(
+        "docs",
+        """SELECT t.listing_id, coalesce(s.stems, '') AS stems FROM toks t LEFT JOIN (
+             SELECT listing_id, string_agg(stem, ' ' ORDER BY pos) AS stems
+             FROM (SELECT listing_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM toks)
+             JOIN stems USING (token) GROUP BY 1) s USING (listing_id)""",
+        toks=DOC_TOKENS,
+        **stem_steps("SELECT unnest(tokens) AS token FROM toks"),
+    )
+)
 def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
     stemmed = porter.stem_tokens(doc_tokens(spark, d))
     return stemmed.select("listing_id", F.array_join("tokens", " ").alias("stems"))

@@ -91,3 +91,23 @@ def test_porter_stems(spark):
     rows = spark.createDataFrame([(w,) for w in STEMS], "token string")
     got = {r["token"]: r["stem"] for r in stem_words(rows).collect()}
     assert got == STEMS
+
+
+def test_stemmer_equals_its_sql(spark):
+    """Every ending of the rules on stems of several shapes, next to the known words."""
+    import duckdb
+
+    from tagwright.plans import stem_oracle
+
+    ends = [e for part in (stem_oracle.SECOND, stem_oracle.THIRD, stem_oracle.FOURTH) for e, _ in stem_oracle.pairs(part)]
+    ends += ["logi", "ing", "ed", "eed", "ied", "ies", "sses", "s", "y", "e", "ll", "tting", "lled", "ying", ""]
+    stems = ["", "b", "a", "y", "by", "say", "toy", "tr", "hop", "fall", "relat", "yell", "adopt", "syzyg", "été", "x2y", "buyer"]
+    words = sorted({s + e for s in stems for e in ends} - {""} | set(STEMS))
+    rows = spark.createDataFrame([(w,) for w in words], "token string")
+    got = {r["token"]: r["stem"] for r in stem_words(rows).collect()}
+    listed = ", ".join(f"('{w}')" for w in words)
+    steps = stem_oracle.stem_steps(f"SELECT token FROM (VALUES {listed}) v(token)")
+    head = ", ".join(f"{k} AS ({v})" for k, v in steps.items())
+    want = dict(duckdb.connect().sql(f"WITH {head} SELECT token, stem FROM stems").fetchall())
+    assert got == want
+    assert {w: want[w] for w in STEMS} == STEMS
