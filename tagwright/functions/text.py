@@ -11,11 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagwright.functions.words import stop_words
+from tagwright.functions.words import KARATS, UNITS, WORD, stop_words
 
-WORD = r"\p{L}\p{N}_"
-KARATS = r"(\p{Nd})([\s-]?)(karat|karats|carat|carats|kt)([^" + WORD + "])"
-UNITS = r"(\p{Nd}+)[\s-]([a-z]{2})(\s)"
 NO_DESCRIPTION = "no description yet"
 
 

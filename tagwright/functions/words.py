@@ -29,6 +29,13 @@ SHORT_STOP_WORDS = ["the", "a", "an", "is", "it", "this"]
 # Characters a brand word may consist of (inside a regex class).
 BRAND_CHARS = "a-z0-9*/+\\-'’?!.,|&%®™ôèéü"
 
+# Characters of a word (inside a regex class).
+WORD = r"\p{L}\p{N}_"
+
+# A number with a unit of gold, and a number with a unit of two letters.
+KARATS = r"(\p{Nd})([\s-]?)(karat|karats|carat|carats|kt)([^\p{L}\p{N}_])"
+UNITS = r"(\p{Nd}+)[\s-]([a-z]{2})(\s)"
+
 # Spellings that a reader of delimited text takes as missing.
 NA_SPELLINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

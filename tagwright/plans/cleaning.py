@@ -10,7 +10,7 @@ from tagwright.operators import clean, stats
 from tagwright.operators import encode
 from tagwright.operators.lookup import lookup_join
 from tagwright.plans import inputs
-from tagwright.plans.oracles import normalized, over, plain, scaled, tokenized, units
+from tagwright.plans.oracles import KARATS, normalized, over, plain, scaled, tokenized, units
 from tagwright.plans.registry import query
 from tagwright.sources import fixtures
 from tagwright.sources import listings as src
@@ -280,7 +280,7 @@ def brand_slug(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(over("unified", "SELECT listing_id, name FROM lowered_karats", lowered_karats="""
-    SELECT listing_id, regexp_replace(name, '{k}', '\\1k\\4', 'g') AS name FROM lowered""".format(k=tx.KARATS)))
+    SELECT listing_id, regexp_replace(name, '{k}', '\\1k\\4', 'g') AS name FROM lowered""".format(k=KARATS)))
 def normalize_karats(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.lowered(spark, d)
     return rows.select("listing_id", tx.normalize_karats(F.col("name")).alias("name"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from tagwright.functions.text import KARATS, UNITS, WORD
-from tagwright.functions.words import BRAND_CHARS, SHORT_STOP_WORDS, stop_words
+from tagwright.functions.words import stop_words
+
+# Fixed values, written out here so that a slip in ``functions.words`` shows as a difference.
+WORD = r"\p{L}\p{N}_"
+KARATS = r"(\p{Nd})([\s-]?)(karat|karats|carat|carats|kt)([^\p{L}\p{N}_])"
+UNITS = r"(\p{Nd}+)[\s-]([a-z]{2})(\s)"
 
 LISTINGS = """
 SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, CAST(l.l_quantity AS INT)) AS listing_id,
@@ -39,8 +43,8 @@ def text(value: str) -> str:
 
 
 STOP = "[" + ", ".join(text(w) for w in stop_words()) + "]"
-SHORT_STOP = "[" + ", ".join(text(w) for w in SHORT_STOP_WORDS) + "]"
-BRAND_WORD = f"[{BRAND_CHARS}]+"
+SHORT_STOP = "['the', 'a', 'an', 'is', 'it', 'this']"
+BRAND_WORD = "[a-z0-9*/+\\-'’?!.,|&%®™ôèéü]+"
 
 
 def normalized(t: str) -> str:
