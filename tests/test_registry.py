@@ -11,7 +11,7 @@ DIR = "/root/testdata/sf0.001"
 CHECKED = [
     "scan_listings_tsv", "fill_missing_dense", "enrich_name_desc", "topk_keep", "target_encode",
     "sequence_encode", "wordbag_desc", "df_filter", "tfidf", "brand_fill", "fuzzy_suggest",
-    "stream_features",
+    "stream_features", "stem_tokens",
 ]
 
 
