@@ -72,8 +72,9 @@ def lookup_join(
     if fits(table, limit_bytes) if small is None else small:
         keep = table.select(*on) if how == "left_semi" else table
         return rows.join(F.broadcast(keep), on, how)
+    # Sizes of compressed files must not make the planner broadcast what was measured to be too big.
     if weight is None:
-        return rows.join(table, on, how)
+        return rows.join(table.hint("merge"), on, how)
 
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in on]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -88,7 +89,7 @@ def lookup_join(
     here = rows.join(F.broadcast(hot), on, "left")
     here = here.where((F.col("_hot") | keyless) if how == "left" else F.col("_hot"))
     others = rows.where(~keyless).join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return here.select(*columns).unionByName(others.join(table.select(*on, *payload), on, how).select(*columns))
+    return here.select(*columns).unionByName(others.join(table.select(*on, *payload).hint("merge"), on, how).select(*columns))
 
 
 def dense_index(table: DataFrame, keys: str | Sequence[str], name: str, start: int = 1) -> DataFrame:

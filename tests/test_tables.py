@@ -29,6 +29,9 @@ def test_lookup_is_the_same_by_broadcast_and_by_shuffle(spark, skewed, how):
     # Rows of the hot key and rows without a key are answered apart from the join by shuffle.
     plan = big._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "LeftAnti" in plan
+    # What was measured as too big is not broadcast for its small files.
+    plan = lookup.lookup_join(skewed, table, "key", how, limit_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 @pytest.mark.parametrize("parts", [1, 7, 50])
