@@ -7,8 +7,9 @@ that cannot lift a vector from the floor of the others to the current k-th best
 non-essential. Essential postings are traversed for all vectors; the others are probed, a few terms
 at a time, only for vectors whose score so far plus the bound of what is left is still competitive.
 
-Queries are grouped into blocks and meet every shard by a join on (block, group of shards); the best
-of each task are merged per query.
+Shards are dealt into groups and shuffled once. A task holds the shards of one group and streams all
+blocks of queries past them, so a query's best of a whole group raises the bar for its later shards;
+the ``k`` best per query and group are merged.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tagwright.sources.shared import publish
 
 SHARD_VECTORS = 8192
 SHARD_VALUES = 1 << 19
-# Shards that one block of queries meets in one task, about.
-TASK_SHARDS = 8
+# Shards that a task holds, about: 32 take 64 MB as four-byte numbers.
+TASK_SHARDS = 32
 BLOCK_QUERIES = 256
 # Terms probed between two looks at which vectors are still competitive.
 PROBE = 8
@@ -140,13 +141,57 @@ def _search(best: _Best, own: int, q: np.ndarray, ids: np.ndarray, postings: np.
         best.add(scores[alive].astype(np.int64), ids[alive])
 
 
+class _Shard:
+    """A shard's vectors term by term, and each term's bounds, as numbers of the type last asked for."""
+
+    def __init__(self, ids: np.ndarray, postings: np.ndarray):
+        self.ids, self.postings, self.data = ids, postings, np.empty((0, 0))
+        self.top = _largest(postings)
+
+    def bounded(self, terms: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.data.dtype != kind or len(self.data) != terms:
+            self.data = self.postings[:terms].astype(kind)
+            empty = np.zeros(terms, kind)
+            self.high = self.data.max(axis=1) if self.data.size else empty
+            self.low = self.data.min(axis=1) if self.data.size else empty
+        return self.data, self.high, self.low
+
+
+def _largest(numbers: np.ndarray) -> int:
+    """The greatest absolute value, one at least."""
+    return max(1, int(numbers.max(initial=0)), -int(numbers.min(initial=0)))
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows one at a time: a row may hold a whole shard."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _answers(ids: np.ndarray, wanted: np.ndarray, shards: list[_Shard], k: int) -> pa.RecordBatch:
+    """The ``k`` best of all shards for each query of a block."""
+    best, top = [_Best(k) for _ in ids], _largest(wanted)
+    for shard in shards:
+        terms = min(len(shard.postings), len(wanted))  # what one side lacks counts as zero
+        limit = terms * top * shard.top
+        # The narrowest type in which every partial score is exact.
+        kind = np.float32 if limit < 1 << 24 else np.float64 if limit < 1 << 53 else np.int64
+        data, high, low = shard.bounded(terms, kind)
+        asked = wanted[:terms].astype(kind)
+        for j, own in enumerate(ids):
+            _search(best[j], int(own), asked[:, j], shard.ids, data, high, low)
+    found = [(int(q), int(i), int(s)) for q, b in zip(ids, best) for i, s in zip(b.ids, b.scores)]
+    columns = zip(*found) if found else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` highest inner products with the
     candidates of other ids (all, if there are fewer); ties go to the smaller id.
 
     Both tables hold ``vec_id, v`` as ``quantised`` gives them. Queries that repeat an id count once
-    (the least vector); candidates that repeat one count each. Shards are dealt into groups, so that
-    a block of queries is worked on in many tasks, each of which merges what its shards give.
+    (the least vector); candidates that repeat one count each. Every shard is shuffled once, every
+    block of queries once per group of shards; a task holds one group and one block at a time.
     """
     shards = publish(_shards(candidates.select("vec_id", "v")), "vector-shards")
     groups = max(12, -(-shards.count() // TASK_SHARDS))
@@ -155,46 +200,32 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         row = _packed(group["vec_id"].tolist(), [list(v) for v in group["v"]])
-        return pd.DataFrame([(int(group["block"].iloc[0]), *row)], columns=["block", "q_ids", "q_terms", "q_kind", "q_postings"])
+        return pd.DataFrame([row], columns=["ids", "terms", "kind", "postings"])
 
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    packed = dealt.groupBy("block").applyInPandas(
-        pack, "block int, q_ids binary, q_terms int, q_kind string, q_postings binary"
+    packed = dealt.groupBy("block").applyInPandas(pack, _SHARD)
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    by_group = packed.select(to_all.alias("part"), F.lit(True).alias("asks"), "ids", "terms", "kind", "postings")
+    dealt_shards = shards.select(
+        F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("part"), F.lit(False).alias("asks"), *shards.columns
     )
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = shards.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A group's shards come first, then every block of queries.
+    met = dealt_shards.unionByName(by_group).repartition(groups, "part").sortWithinPartitions("part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked, best = None, None, []
-
-        def results() -> pa.RecordBatch:
-            found = [(int(q), int(i), int(s)) for q, b in zip(asked[0], best) for i, s in zip(b.ids, b.scores)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], [], []))], ["query_id", "vec_id", "score"]
-            )
-
+        part, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != at:
-                    if at is not None:
-                        yield results()
-                    at, asked = row["block"], _unpacked(row["q_ids"], row["q_terms"], row["q_kind"], row["q_postings"])
-                    best = [_Best(k) for _ in asked[0]]
-                ids, postings = _unpacked(row["ids"], row["terms"], row["kind"], row["postings"])
-                terms = min(len(postings), len(asked[1]))  # what one side lacks counts as zero
-                limit = terms * max(1, int(np.abs(asked[1].astype(np.int64)).max(initial=0))) * max(1, int(np.abs(postings.astype(np.int64)).max(initial=0)))
-                # The narrowest type in which every partial score is exact.
-                kind = np.float32 if limit < 1 << 24 else np.float64 if limit < 1 << 53 else np.int64
-                data, wanted = postings[:terms].astype(kind), asked[1][:terms].astype(kind)
-                high = data.max(axis=1) if data.size else np.zeros(terms, kind)
-                low = data.min(axis=1) if data.size else np.zeros(terms, kind)
-                for j, own in enumerate(asked[0]):
-                    _search(best[j], int(own), wanted[:, j], ids, data, high, low)
-        if at is not None:
-            yield results()
-
-    found = met.join(packed, ["block", "part"]).mapInArrow(run, "query_id long, vec_id long, score long")
+            for row in _rows(batch):
+                if row["part"] != part:
+                    part, held = row["part"], []
+                stored = _unpacked(row["ids"], row["terms"], row["kind"], row["postings"])
+                if row["asks"]:
+                    if held:
+                        yield _answers(*stored, held, k)
+                else:
+                    held.append(_Shard(*stored))
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

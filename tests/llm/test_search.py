@@ -104,10 +104,26 @@ def test_pruned_shards_and_ties(spark, monkeypatch, scale):
     frame = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in rows.items()], "vec_id long, v array<long>")
     got = {tuple(r) for r in topk.top_k(frame.where("vec_id % 50 = 0"), frame).collect()}
     assert got == brute.top(rows)
+    # Groups that hold several shards, and blocks of few queries.
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    assert {tuple(r) for r in topk.top_k(frame.where("vec_id % 50 = 0"), frame.repartition(20)).collect()} == got
     assert topk.top_k(frame.where("vec_id = 0"), frame.where("vec_id < 3")).count() == 2
     assert topk.top_k(frame.where("false"), frame.where("false")).count() == 0
 
 
+def test_candidates_of_one_id_count_each_and_queries_once(spark):
+    rows = [(1, [3, 1]), (1, [2, 2]), (1, [2, 2]), (2, [1, 0]), (3, [5, 5])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(frame.where("vec_id IN (1, 3)"), frame, k=4).collect())
+    assert got == [(1, 1, 3, 20), (1, 2, 2, 2), (3, 1, 1, 20), (3, 2, 1, 20), (3, 3, 1, 20), (3, 4, 2, 5)]
+
+
+def test_a_shard_is_shuffled_once_however_many_queries(spark):
+    frame = spark.range(2000).selectExpr("id AS vec_id", "array(id, id % 7) AS v")
+    plan = topk.top_k(frame.where("vec_id % 2 = 0"), frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
