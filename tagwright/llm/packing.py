@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwright.llm.tokens import library_encoder
+from tagwright.operators.lookup import lookup_join
 from tagwright.sources.shared import publish
 
 CAPACITY = 1024
@@ -137,5 +138,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     before = publish(
         by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "ranks"
     )
-    ranked = found.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("local_rank"))
+    # It grows with tasks times lengths, so it is broadcast only while it is measured to be small.
+    ranked = lookup_join(found, before, ["part", "length"], "inner").withColumn("rank", F.col("before") + F.col("local_rank"))
     return _placed(ranked, slots)
