@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.llm.components import components
+from tagwright.operators.lookup import lookup_join
 from tagwright.sources.shared import publish
 
 BITS = 64
@@ -144,15 +145,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``doc_id`` and ``text`` are read, so other columns cannot clash.
     """
     prints = publish(fingerprints(docs), "fingerprints")
-    distinct = publish(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    counted = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    distinct = publish(counted, "distinct-prints")
     forest = components(links(distinct, radius), "a", "b").withColumnRenamed("node", "fingerprint")
     rooted = publish(
         distinct.join(forest, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "rooted"
     )
     least = publish(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     # Only prints that are linked need the second table's answer.
-    of_print = publish(rooted.join(least, "root").select("fingerprint", "component_id"), "print-components")
-    return prints.join(of_print, "fingerprint").select(
+    of_print = publish(rooted.join(least, "root").select("fingerprint", "component_id", "rows"), "print-components")
+    # Rows of a print that very many texts share (all empty ones, say) are answered where they are.
+    return lookup_join(prints, of_print, "fingerprint", "inner", weight="rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
