@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-On a sample, the time each rule takes and the share it rejects are measured; rules then run in the
-order of rejections per second, and a text that one rule rejects is not looked at by the next. The
-order changes the cost, never the verdict.
+On a sample, the time each rule takes and what it rejects of the texts that the rules before it let
+through are measured; the rule with the most such rejections per second comes next, and a text that
+one rule rejects is not looked at by the next. The order changes the cost, never the verdict.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ EDGES = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 # Rows that estimates are made on, as a mean (rows are drawn independently).
 SAMPLE_ROWS = 1000
+# A timed run repeats the sample until splitting its words alone takes this long.
+LEAST_SECONDS = 0.25
+RUNS = 3
+# A rule goes before an earlier listed one only if it rejects this many times more per second.
+CLEARLY = 1.5
 
 
 def words_of(text: Column) -> Column:
@@ -105,16 +111,77 @@ BASE_RULES = ("too_short", "repeats")
 
 @dataclass(frozen=True)
 class Estimate:
+    """A rule's seconds on the sample, and the share it rejects of what the rules before it leave."""
+
     name: str
     seconds: float
     rejected: float
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Estimate]:
-    """Each rule's cost and rejected share on a random sample of ``docs``, best first.
+def _seconds(sample: DataFrame, rules: Sequence[Rule]) -> dict[str, float]:
+    """What each rule adds to the time of splitting words, for one pass over ``sample``.
+
+    Rows are repeated within a job until the splitting takes ``LEAST_SECONDS``; all conditions are
+    timed in turns, ``RUNS`` times, and medians are taken. A rule that adds less than the spread of
+    the splitting's own times counts as that spread.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
 
-    The sample is written once. A rule's cost is the quicker of two runs less that of splitting
-    words alone. Ties keep the order of ``rules``; an empty table leaves them as they are.
+    def timed(condition: Callable[[Column, Column], Column], times: int) -> float:
+        again = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))))
+        asked = again.agg(F.count_if(let(words_of(text), lambda w: condition(w, text))))
+        start = time.perf_counter()
+        asked.collect()
+        return time.perf_counter() - start
+
+    nothing = lambda words, _: F.size(words) < 0
+    timed(nothing, 1)  # not the compiler's time
+    times = 1
+    while times < 1024 and timed(nothing, times) < LEAST_SECONDS:
+        times *= 2
+    floors, found = [], {r.name: [] for r in rules}
+    for _ in range(RUNS):
+        floors.append(timed(nothing, times))
+        for rule in rules:
+            found[rule.name].append(timed(rule.rejects, times))
+    spread = max(max(floors) - min(floors), 0.1 * median(floors))
+    return {name: max(median(took) - median(floors), spread) / times for name, took in found.items()}
+
+
+def ordered(
+    rules: Sequence[str], seconds: dict[str, float], verdicts: dict[tuple[bool, ...], int]
+) -> list[Estimate]:
+    """Rules by rejections per second among what the rules placed before them leave.
+
+    ``verdicts`` counts rows by what each rule, in the order of ``rules``, says of them. A rule passes
+    one listed before it only if it is better by the factor ``CLEARLY``, so timings that differ by
+    less than that between calls change nothing.
+    """
+    left, todo, plan = dict(verdicts), list(rules), []
+    while todo:
+        total = sum(left.values())
+        rejected = {r: sum(n for v, n in left.items() if v[rules.index(r)]) / max(1, total) for r in todo}
+        best = todo[0]
+        for r in todo[1:]:
+            if rejected[r] / seconds[r] > CLEARLY * rejected[best] / seconds[best]:
+                best = r
+        plan.append(Estimate(best, seconds[best], rejected[best]))
+        todo.remove(best)
+        left = {v: n for v, n in left.items() if not v[rules.index(best)]}
+    return plan
+
+
+def estimate(
+    docs: DataFrame,
+    rules: Sequence[Rule] = RULES,
+    rows: int = SAMPLE_ROWS,
+    seed: int = 7,
+    placed: Sequence[Rule] = (),
+) -> list[Estimate]:
+    """The order for ``rules`` after those in ``placed``, by a random sample of ``docs``, best first.
+
+    The sample is written once. At most ``2 ** len(rules)`` counts reach the driver. An empty table
+    leaves the rules as they are.
     """
     total = docs.count()
     if not total:
@@ -122,23 +189,17 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_
     drawn = docs.select("text").sample(fraction=min(1.0, rows / total), seed=seed)
     # The few rows drawn are moved together; the scan they come from keeps all its tasks.
     sample = publish(drawn.repartition(4), "quality-sample")
+    text = F.coalesce(F.col("text"), F.lit(""))
 
-    def timed(condition: Callable[[Column, Column], Column]) -> tuple[float, int]:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        asked = sample.agg(F.count_if(let(words_of(text), lambda w: condition(w, text))), F.count(F.lit(1)))
-        best, row = float("inf"), None
-        for _ in range(2):
-            start = time.perf_counter()
-            row = asked.first()
-            best = min(best, time.perf_counter() - start)
-        return best, row[0] / max(1, row[1])
+    def judged(words: Column) -> Column:
+        before = F.lit(False)
+        for rule in placed:
+            before = before | rule.rejects(words, text)
+        return F.struct(before.alias("gone"), F.array(*[r.rejects(words, text) for r in rules]).alias("says"))
 
-    floor = timed(lambda words, text: F.size(words) < 0)[0]
-    found = []
-    for rule in rules:
-        seconds, rejected = timed(rule.rejects)
-        found.append(Estimate(rule.name, max(seconds - floor, 1e-3), rejected))
-    return sorted(found, key=lambda e: -e.rejected / e.seconds)
+    said = sample.select(let(words_of(text), judged).alias("v")).where("NOT v.gone")
+    verdicts = {tuple(r[0]): r[1] for r in said.groupBy("v.says").count().collect()}
+    return ordered([r.name for r in rules], _seconds(sample, rules), verdicts)
 
 
 def first_failure(words: Column, text: Column, rules: Sequence[Rule], plan: Sequence[Estimate]) -> Column:
@@ -164,7 +225,8 @@ def report(docs: DataFrame, plan: Sequence[Estimate] | None = None) -> DataFrame
     """Base statistics of every row and its verdict. The base rules are read off the statistics,
     which are wanted for every row; the cascade runs over the other rules for rows that pass them."""
     others = [r for r in RULES if r.name not in BASE_RULES]
-    plan = estimate(docs) if plan is None else plan
+    if plan is None:
+        plan = estimate(docs, others, placed=[r for r in RULES if r.name in BASE_RULES])
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def row(words: Column) -> Column:

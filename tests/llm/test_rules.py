@@ -1,7 +1,9 @@
 """Personal data, secrets and quality rules."""
 
 import brute
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagwright.llm import pii, quality, secret_scan
 
@@ -28,6 +30,51 @@ def test_labelers_find_more_than_the_base(spark):
     assert all(0 <= r <= 1 for r in model.reliabilities)
 
 
+def test_the_classifier_sees_the_span_and_the_word_before_it(spark):
+    # Even ones come after "order", begin like no issuer's and are not grouped in fours.
+    number = [f"4111 1111 1111 {i}" if i % 2 else f"99111 111 1111 {i}" for i in range(1000, 1200)]
+    rows = [(i, f"{'my card' if i % 2 else 'your order'} {n} thanks") for i, n in enumerate(number)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    detected = pii.detect(frame)
+    model = pii.fit(detected)
+    got = {r.doc_id: r.spans for r in pii.report(detected, model).collect()}
+    plain = {i for i, n in enumerate(number) if not brute.luhn(n.replace(" ", ""))}
+    assert {i for i in plain if got[i]} == {i for i in plain if i % 2}
+    # The word decides, not the votes: the same numbers after the other word are judged by it.
+    turned = [(i, f"{'your order' if i % 2 else 'my card'} {n} thanks") for i, n in enumerate(number)]
+    again = pii.report(pii.detect(spark.createDataFrame(turned, "doc_id long, text string")), model)
+    assert {r.doc_id for r in again.collect() if r.doc_id in plain and r.spans} == {i for i in plain if i % 2 == 0}
+
+
+def test_reliabilities_are_learnt_per_kind():
+    # For kind 0 the first labeler is right, for kind 1 it says the opposite of the three others.
+    patterns = [(0, (1, 1, 1, 1), 50), (0, (-1, -1, -1, -1), 50), (1, (-1, 1, 1, 1), 50), (1, (1, -1, -1, -1), 50)]
+    beliefs = pii.reliabilities(patterns)
+    assert beliefs[0, (1, 1, 1, 1)] > 0.9 > 0.1 > beliefs[0, (-1, -1, -1, -1)]
+    assert beliefs[1, (-1, 1, 1, 1)] > 0.9 > 0.1 > beliefs[1, (1, -1, -1, -1)]
+    assert pii.reliabilities([]) == {}
+
+
+def test_logistic_weights_are_an_optimum():
+    rng = np.random.default_rng(3)
+    on = np.stack([rng.integers(0, 2, 40), rng.integers(2, 5, 40)], axis=1)
+    n, target = rng.integers(1, 9, 40), rng.random(40)
+
+    def value(w):
+        p = 1 / (1 + np.exp(-w[on].sum(axis=1)))
+        whole = np.array([n[on[:, 0] == g].sum() for g in on[:, 0]])
+        return (n / whole * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum() - 0.05 * (w**2).sum()
+
+    best = pii.logistic(on, n, target, 5, penalty=0.1)
+    assert all(value(best) >= value(best + d) for d in 1e-3 * rng.normal(size=(200, 5)))
+
+
+def test_other_gazetteers(spark):
+    frame = spark.createDataFrame([(1, "Signed by Fru Nguyen today"), (2, "Mr Jones")], "doc_id long, text string")
+    found = pii.detect(frame, lists=pii.Gazetteers(titles="Fru"))
+    assert [len(r.candidates) for r in found.orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_redaction_keeps_everything_else(docs, texts):
     out = pii.redact(docs)
     assert out.columns == docs.columns
@@ -54,8 +101,6 @@ def test_peak_entropy_equals_counting_each_window(spark, string):
     from collections import Counter
     from math import log2
 
-    from pyspark.sql import functions as F
-
     w, alphabet = secret_scan.WINDOW, secret_scan.CLASSES[-1][0]
     windows = [Counter(string[i : i + w]) for i in range(len(string) - w + 1)]
     want = max([0, *(-sum(n / w * log2(n / w) for n in c.values()) for c in windows)])
@@ -106,6 +151,24 @@ def test_quality(docs, texts):
     assert backwards == kept  # the order changes the cost only
 
 
+def test_rules_are_ordered_by_what_is_left_and_by_clear_differences():
+    names, verdicts = ["a", "b", "c"], {(True, True, False): 50, (False, False, True): 10, (False,) * 3: 40}
+    # All that b rejects is gone after a, so c is next.
+    plan = quality.ordered(names, {"a": 1.0, "b": 1.1, "c": 5.0}, verdicts)
+    assert [(e.name, e.rejected) for e in plan] == [("a", 0.5), ("c", 0.2), ("b", 0.0)]
+    # A little quicker changes nothing, clearly quicker does.
+    assert quality.ordered(names, {"a": 1.0, "b": 0.8, "c": 5.0}, verdicts)[0].name == "a"
+    assert quality.ordered(names, {"a": 1.0, "b": 0.5, "c": 5.0}, verdicts)[0].name == "b"
+    assert [e.name for e in quality.ordered(names, dict.fromkeys(names, 1.0), {})] == names
+
+
+def test_rules_have_one_order_in_three_calls(docs):
+    placed = [r for r in quality.RULES if r.name in quality.BASE_RULES]
+    others = [r for r in quality.RULES if r not in placed]
+    orders = {tuple(e.name for e in quality.estimate(docs, others, placed=placed)) for _ in range(3)}
+    assert len(orders) == 1
+
+
 def test_quality_agrees_with_labels(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     kept = quality.report(docs).join(labels, "doc_id")
