@@ -37,8 +37,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in training sequences."""
-    return packing.pack(docs, TOKENIZER)
+    """Pieces of all documents with their places in training sequences. The earlier stages have grown
+    the executors' heaps by now, so the encoders remember less than where they have one to themselves."""
+    return packing.pack(docs, TOKENIZER, remembered=60_000, chars=1_000_000)
 
 
 STAGES = [

@@ -24,23 +24,29 @@ from tagwright.operators.lookup import lookup_join
 from tagwright.sources.shared import publish
 
 CAPACITY = 1024
+# Rows of an Arrow batch that are Python strings at a time.
+ROWS_AT_ONCE = 1000
 
 PIECES = "part int, local_rank long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, remembered: int = 200_000, chars: int = 4_000_000
+) -> DataFrame:
     """One row per piece of every document: ids of the whole text and the end id, cut into pieces of
     ``capacity`` of which the first may be shorter. A null text counts as empty (one end id).
 
     ``part`` and ``local_rank`` number the pieces of a length within a task, in the order read.
+    ``remembered`` (results kept by the encoder) and ``chars`` (encoded at once) weigh a task's memory
+    against its time; the ids do not depend on them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = library_encoder(tokenizer), {}, TaskContext.get().partitionId()
+        encoder, seen, part = library_encoder(tokenizer, limit=remembered), {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, ids, counts in encoder.batches(texts):
+            for at, ids, counts in encoder.batches(texts, chars):
                 rows, stops = [], np.cumsum(counts)
                 for i, (stop, count) in enumerate(zip(stops.tolist(), counts.tolist())):
                     doc = np.concatenate([ids[stop - count : stop], end])
@@ -122,14 +128,16 @@ def _placed(ranked: DataFrame, slots: Sequence[tuple[int, int, int, int, int]])
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, remembered: int = 200_000, chars: int = 4_000_000
+) -> DataFrame:
     """Every piece of every document with its place: ``sequence_id`` and ``offset``.
 
     Repeated rows are packed each; an empty table gives no rows; columns other than ``doc_id`` and
     ``text`` are not read. The pieces (numbers, no ids) are written once, so every later step sees
-    the same ranks whatever tasks are repeated.
+    the same ranks whatever tasks are repeated. ``remembered`` and ``chars`` are those of ``pieces``.
     """
-    found = publish(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    found = publish(pieces(docs, tokenizer, end_id, capacity, remembered, chars), "pieces")
     by_part = publish(found.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("n")).collect()}
     slots, _ = best_fit_plan(counts, capacity)

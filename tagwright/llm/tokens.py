@@ -170,18 +170,19 @@ def mapped(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_MAPPED)
 
 
-_ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
+_ENCODERS: dict[tuple[str, int, int], CachedEncoder] = {}
 
 
-def library_encoder(path: str, width: int = 4) -> CachedEncoder:
-    """An encoder on the ``tokenizers`` file at ``path``, one per process.
+def library_encoder(path: str, width: int = 4, limit: int = 200_000) -> CachedEncoder:
+    """An encoder on the ``tokenizers`` file at ``path``, one per process and ``limit`` of remembered
+    results.
 
     Ids are those of the library's ``encode(text, add_special_tokens=False)``: where a text holds the
     content of an added token, that token's id. Such texts go to the library whole; the pre-tokens of
     others are merged by the file's own model, which must be a byte-level BPE that splits by
     ``public_tokenizers.PATTERN``.
     """
-    key = (path, width)
+    key = (path, width, limit)
     if key not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
@@ -202,5 +203,5 @@ def library_encoder(path: str, width: int = 4) -> CachedEncoder:
         def whole(text: str) -> bytes:
             return packed(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, width)
 
-        _ENCODERS[key] = CachedEncoder(of_pretoken, pattern.findall, whole, width, added=added)
+        _ENCODERS[key] = CachedEncoder(of_pretoken, pattern.findall, whole, width, limit, added)
     return _ENCODERS[key]
