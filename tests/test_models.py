@@ -152,3 +152,18 @@ def test_a_model_too_wide_is_refused(spark, monkeypatch):
     wide = spark.createDataFrame([(Vectors.sparse(101, {1: 1.0}), 1.0)], ["features", "log_price"])
     with pytest.raises(ValueError, match="101 coefficients"):
         models.sparse_linear_price(wide)
+
+
+def test_tree_fits_deal_many_rows_over_more_tasks(spark, planted, monkeypatch):
+    """No task holds more than its share, whatever the files' splits; the model still finds the signal."""
+    rows = planted.withColumn("log_price", clean.log_price(F.col("price")))
+    dense = publish(encode.fit_dense(rows.where("split = 'train'")).apply(rows), "rows").coalesce(1)
+    assert models.dealt(dense, 600).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 60)
+    parts = models.dealt(dense, 600)
+    sizes = parts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 120
+    model, constant = errors(spark, planted, pricing.dense_scored(dense))
+    assert model < 0.4 * constant
+    found = models.schedule_sweep(dense.where("split = 'train'"), dense.where("split = 'test'"), [0.1, 0.3], [1, 3])
+    assert sorted((r["step"], r["iters"]) for r in found.collect()) == [(0.1, 1), (0.1, 3), (0.3, 1), (0.3, 3)]
