@@ -90,3 +90,15 @@ def test_signs_cancel_without_a_division_by_zero():
     assert [len(x) for x in grams.cells([" ".join(pair)], how, grams.Prints())] == [0, 0, 0]
     row, _, value = grams.cells([" ".join(pair), pair[0]], how, grams.Prints())
     assert np.array_equal(row, [1]) and value[0] == -1.0
+
+
+def test_digests_are_computed_together(monkeypatch):
+    """Only grams longer than one block of md5 cost a call each."""
+    called = []
+    monkeypatch.setattr(grams, "md5", lambda x, **more: called.append(x) or hashlib.md5(x, **more))
+    texts = ["é" * 27 + "x", "é" * 28, *["y" * n for n in (1, 3, 4, 5, 54, 55, 56, 57, 63, 64, 200)], "a b " * 9000 + "c"]
+    row, bucket, _ = grams.cells(texts, grams.Hashing((1.0,), 1 << 32), grams.Prints())
+    assert sorted(map(len, called)) == [56, 56, 57, 63, 64, 200]
+    for i, text in enumerate(texts):
+        words = {int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in text.split()}
+        assert set(bucket[row == i].tolist()) == words
