@@ -106,3 +106,23 @@ def test_only_small_tables_are_spread(spark, written):
     assert spread(df, path, "listing_id", limit=1) is df
     plan = spread(df, path, "listing_id")
     assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString() and rows(plan) == rows(df)
+
+
+def test_only_pieces_of_cut_records_are_written(spark, written, ranges, monkeypatch):
+    path, _ = written
+    kept, publish = {}, quoted.publish
+    monkeypatch.setattr(quoted, "publish", lambda df, label: kept.setdefault(label, publish(df, label)))
+    read = quoted.records(spark, path, "\t").count()
+    parts = kept.get("quoted-parts")
+    assert parts is not None or ranges > 10_000
+    if parts is not None:
+        assert 0 < parts.select("file", "owner").distinct().count() < read / 2 and parts.where("owner IS NULL").isEmpty()
+
+
+def test_packed_files_hold_few_rows(spark, written, monkeypatch, tmp_path):
+    monkeypatch.setattr(src, "PACKED_ROWS", 90)
+    rows_of = src.read_listings(spark, written[0], spellings=[])
+    packed = src.write_listings(rows_of.coalesce(1), str(tmp_path / "packed"), packed=True)
+    files = list((tmp_path / "packed").glob("*.csv.gz"))
+    assert len(files) == 5 and len(list((tmp_path / "packed").glob("*.csv"))) == 0
+    assert rows(src.read_listings(spark, packed, spellings=[])) == rows(rows_of)
