@@ -191,3 +191,45 @@ def test_out_of_fold_means_do_not_see_their_row(spark, priced):
     means = stats.group_means(priced, "log_price")
     plain = encode.join_left_stats(priced, means).select("listing_id", "brand_mean").collect()
     assert leaky == pytest.approx({r[0]: r[1] for r in plain})
+
+
+@pytest.mark.parametrize("rows", [None, 31])
+@pytest.mark.parametrize("both", [False, True])
+@pytest.mark.parametrize("most", [sparse.PLACES, 0])
+def test_rows_of_their_own_make_the_vectors_of_the_long_table(spark, rows, both, most):
+    texts = [("red w%d v%d" % (i % 3, i % 2), "b%d" % (i % 4), "train" if i % 5 else "test") for i in range(30)]
+    texts += [("", "", "train"), (None, None, "train"), ("only here", "x", "train"), ("only here", "x", "train")]
+    data = [(str(i), *t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "listing_id string, t string, b string, split string")
+    blocks = [sparse.wordbag_desc(F.col("t")), sparse.onehot("brand", F.col("b")), sparse.wordbag_name(F.col("t"))]
+    long = publish(sparse.stack_blocks(df, blocks, ["split"]), "f")
+    fitted = sparse.fit_features(long, {b.name: b.min_df for b in blocks}, both)
+    want = {r[0]: r["features"] for r in sparse.pack_vectors(sparse.indexed(long, fitted, rows), fitted, df).collect()}
+    stacked = publish(sparse.stack_rows(df, blocks, ["split"]), "s")
+    again = sparse.fit_stacked(stacked, blocks, both)
+    assert sorted(map(str, again.collect())) == sorted(map(str, fitted.select(again.columns).collect()))
+    found = sparse.stacked_vectors(stacked, blocks, again, rows, ["split"], most).collect()
+    assert len(found) == len(want) == len(data)
+    for r in found:
+        own = want[r["listing_id"]]
+        assert r["split"] == data[int(r["listing_id"])][3] and r["features"].size == own.size
+        assert r["features"].indices.tolist() == own.indices.tolist()
+        assert r["features"].values == pytest.approx(own.values, rel=1e-12)
+
+
+def test_factorisation_adds_up_one_gradient_per_share_of_rows(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.range(400).rdd.map(lambda r: (str(r.id), float(r.id % 3), Vectors.sparse(5, [r.id % 5], [1.0])))
+    rows = rows.toDF(["listing_id", "log_price", "features"]).repartition(40)
+    seen, fit = [], models.FMRegressor.fit
+
+    def counted(self, df, *args):
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(models.FMRegressor, "fit", counted)
+    monkeypatch.setattr(models, "publish_vectors", lambda df, label: df)
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 200)
+    models.fm_price(rows, budgets=(2, 3))
+    assert seen == [spark.sparkContext.defaultParallelism] * 2
