@@ -271,8 +271,8 @@ def minmax_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SCALED_SQL)
 def target_encode(spark: SparkSession, d: str) -> DataFrame:
-    fitted = encode.fit_dense(inputs.train(spark, d))
-    return fitted.apply(inputs.filled(spark, d)).select("listing_id", "split", *rounded(*encode.DENSE))
+    rows = encode.narrowed(inputs.filled(spark, d), "listing_id", "split", "log_price")
+    return encode.fit_dense(rows.where(is_train())).apply(rows).select("listing_id", "split", *rounded(*encode.DENSE))
 
 
 @query(

@@ -233,3 +233,29 @@ def test_factorisation_adds_up_one_gradient_per_share_of_rows(spark, monkeypatch
     monkeypatch.setattr(models, "ROWS_PER_TASK", 200)
     models.fm_price(rows, budgets=(2, 3))
     assert seen == [spark.sparkContext.defaultParallelism] * 2
+
+
+def test_narrowed_rows_are_encoded_like_whole_ones(spark):
+    rows = spark.range(200).select(
+        F.col("id").cast("string").alias("listing_id"), F.concat(F.lit("c"), F.col("id") % 7).alias("category_name"),
+        (F.col("id") % 5).cast("int").alias("item_condition_id"), F.concat(F.lit("b"), F.col("id") % 3).alias("brand_name"),
+        (F.col("id") % 2).cast("int").alias("shipping"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("name"),
+        F.repeat(F.lit("y"), (F.col("id") % 4).cast("int")).alias("item_description"), F.log1p("id").alias("log_price"),
+    )
+    narrow = encode.narrowed(rows, "listing_id", "log_price")
+    assert not {"name", "item_description"} & set(narrow.columns)
+    train = F.col("listing_id") % 10 != 0
+    a = encode.fit_dense(rows.where(train)).apply(rows).select("listing_id", *encode.DENSE)
+    b = encode.fit_dense(narrow.where(train)).apply(narrow).select("listing_id", *encode.DENSE)
+    a, b = ({r[0]: r[1:] for r in x.collect()} for x in (a, b))
+    assert len(a) == 200 and a.keys() == b.keys()
+    assert all(b[k] == pytest.approx(a[k], rel=1e-12) for k in a)
+
+
+def test_target_encode_makes_the_listings_once(spark, monkeypatch):
+    from tagwright.plans import catalog, inputs
+
+    made, filled = [], inputs.filled
+    monkeypatch.setattr(inputs, "filled", lambda *args: made.append(1) or filled(*args))
+    catalog.QUERIES["target_encode"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
