@@ -192,7 +192,7 @@ def gram_cells(source: str, n: int, size: int, weights: list[float], distinct: b
 
 
 def out_features(df: DataFrame) -> DataFrame:
-    return df.select("listing_id", "block", "feature", F.round("value", 6).alias("value"))
+    return df.select("listing_id", "block", "feature", tx.rounded(F.col("value"), 6).alias("value"))
 
 
 OUT = "SELECT listing_id, block, feature, round(value, 6) AS value FROM features"
@@ -534,4 +534,4 @@ def to_vectors(spark: SparkSession, d: str) -> DataFrame:
     features = publish(document_blocks(spark, d), "features")
     index = publish(sparse.feature_index(sparse.kept_features(sparse.col_nnz(features), 2)), "index")
     vectors = sparse.to_vectors(features, index, fixtures.documents(spark, d))
-    return sparse.unpacked(vectors).select("listing_id", "place", F.round("value", 6).alias("value"))
+    return sparse.unpacked(vectors).select("listing_id", "place", tx.rounded(F.col("value"), 6).alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagwright.functions import text as tx
 from tagwright.operators import grams, sparse
+from tagwright.plans import features
 
 TEXTS = ["red car and red car", "", None, "x", "Blue  blue\tblue blue-green", "ééé straße 12 12", "long " * 700 + "end"]
 
@@ -102,3 +103,31 @@ def test_digests_are_computed_together(monkeypatch):
     for i, text in enumerate(texts):
         words = {int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in text.split()}
         assert set(bucket[row == i].tolist()) == words
+
+
+def test_grams_of_many_sizes_share_few_masked_words(monkeypatch):
+    """Digests are computed by size: a word that all grams of a chunk fill is taken as it is. Cells are
+    sorted with their values, so equal cells of several weights and signs still add up."""
+    masked = []
+    clip = np.clip
+    monkeypatch.setattr(np, "clip", lambda *a, **more: masked.append(1) or clip(*a, **more))
+    monkeypatch.setattr(grams, "TOGETHER", 10)
+    texts = [" ".join("abcdefgh"[i % 8] * (i % 50 + 1) for i in range(200)), "aa bb aa bb aa cc"]
+    for how in (grams.Hashing((1.0,), 1 << 32), grams.Hashing((1.5, 0.25, 3.0), 5, signed=True), grams.Hashing((0.0, 1.0), 1 << 20)):
+        masked.clear()
+        row, bucket, value = grams.cells(texts, how, grams.Prints())
+        for i, text in enumerate(texts):
+            found = dict(zip(bucket[row == i].tolist(), value[row == i].tolist()))
+            assert found == pytest.approx(expected(text.split(), how))
+        if len(how.weights) == 1:
+            assert len(masked) <= 2 * 21  # 21 chunks of neighbouring sizes
+
+
+def test_rounding_is_that_of_decimals(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 1 / 128, -1 / 128, 0.1234565, 0.1234575, 2.5e-6, -1e-9, 1e15, -1e300, 1e9 + 0.5, 5e-7, float("nan"), float("inf"), None]
+    values += (rng.normal(0, 1, 5000) ** 3).tolist() + (1 / np.sqrt(np.arange(1, 5000))).tolist() + ((rng.integers(0, 10**7, 5000) + 0.5) / 1e6).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6).alias("a"), tx.rounded(F.col("v"), 6).alias("b"))
+    assert [r for r in df.collect() if repr(r["a"]) != repr(r["b"])] == []
+    plan = sparse.stack_blocks(spark.createDataFrame([("0", "a b")], "listing_id string, t string"), [sparse.wordbag_desc(F.col("t"))])
+    assert "CASE WHEN" in features.out_features(plan)._jdf.queryExecution().optimizedPlan().toString()
