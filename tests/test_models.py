@@ -167,3 +167,61 @@ def test_tree_fits_deal_many_rows_over_more_tasks(spark, planted, monkeypatch):
     assert model < 0.4 * constant
     found = models.schedule_sweep(dense.where("split = 'train'"), dense.where("split = 'test'"), [0.1, 0.3], [1, 3])
     assert sorted((r["step"], r["iters"]) for r in found.collect()) == [(0.1, 1), (0.1, 3), (0.3, 1), (0.3, 3)]
+
+
+@pytest.fixture(scope="module")
+def crossed(spark):
+    """Rows whose label holds a product of two features; some rows are empty, one vector is dense."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(1)
+    x = (rng.random((200, 9)) < 0.4) * rng.normal(1, 0.5, (200, 9))
+    x[[0, 50, 199]] = 0
+    y = x @ rng.normal(0, 1, 9) + x[:, 0] * x[:, 1] * 2 + 0.5
+    sparse = [Vectors.sparse(9, [(int(j), float(r[j])) for j in np.flatnonzero(r)]) for r in x]
+    sparse[3] = Vectors.dense(x[3])
+    return spark.createDataFrame([(str(i), v, float(z)) for i, (v, z) in enumerate(zip(sparse, y))], ["listing_id", "features", "z"])
+
+
+@pytest.mark.parametrize("decay,together,width", [(0.0, 1_000_000, 16_384), (0.3, 10, 4)])
+def test_steps_are_those_of_the_library(spark, crossed, monkeypatch, decay, together, width):
+    """From the same start, on all rows, in one stage or two, by small pieces and ranges too."""
+    import numpy as np
+    from pyspark.ml import regression
+
+    from tagwright.operators import machine
+
+    monkeypatch.setattr(machine, "TOGETHER", together)
+    monkeypatch.setattr(machine, "RANGE", width)
+    library = lambda n, step, reg: regression.FMRegressor(
+        featuresCol="features", labelCol="z", factorSize=3, maxIter=n, stepSize=step, initStd=0.1, regParam=reg, solver="adamW", tol=0.0, seed=7
+    ).fit(crossed)
+    rank = machine.ranks(crossed)
+    ours = machine.FMRegressor(3, 0.1, decay, 1.0, 7)
+    ours.fit(crossed, 0)
+    ours.machine.weights[:-1][:, rank] = library(1, 1e-15, 0.0).factors.toArray().T
+    ours.fit(crossed, 2)
+    found, other = ours.fit(crossed, 6), library(6, 0.1, decay)
+    ours.release()
+    assert np.allclose(found.weights[:-1][:, rank], other.factors.toArray().T, atol=1e-10)
+    assert np.allclose(found.weights[-1][rank], other.linear.toArray(), atol=1e-10)
+    assert found.intercept == pytest.approx(other.intercept, abs=1e-10)
+    want = {r["listing_id"]: r["prediction"] for r in other.transform(crossed).collect()}
+    got = {r["listing_id"]: r["p"] for r in found.transform(crossed, "p").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_no_step_of_the_machine_is_made_twice(spark, crossed, monkeypatch):
+    """The second budget goes on where the first ended: three steps, not five."""
+    from tagwright.operators import machine
+
+    made, gradients = [], machine.gradients
+    monkeypatch.setattr(machine, "gradients", lambda *args: made.append(1) or gradients(*args))
+    rows = crossed.withColumnRenamed("z", "log_price")
+    model = models.fm_price(rows, budgets=(2, 3))
+    assert len(made) == 3 and models.score(model, rows).count() == 200
+    with pytest.raises(ValueError, match="nothing to learn from"):
+        models.fm_price(rows.limit(0))
+    with pytest.raises(ValueError, match="ascend"):
+        models.fm_price(rows, budgets=(3, 2))
