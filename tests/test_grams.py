@@ -131,3 +131,12 @@ def test_rounding_is_that_of_decimals(spark):
     assert [r for r in df.collect() if repr(r["a"]) != repr(r["b"])] == []
     plan = sparse.stack_blocks(spark.createDataFrame([("0", "a b")], "listing_id string, t string"), [sparse.wordbag_desc(F.col("t"))])
     assert "CASE WHEN" in features.out_features(plan)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lone_cells_are_neither_sorted_nor_combined(spark):
+    df = spark.createDataFrame([("0", "a", 2.0), ("1", None, 0.0), ("2", "", None)], "listing_id string, t string, v double")
+    blocks = [sparse.onehot("o", F.col("t")), sparse.numeric("n", F.col("v")), sparse.count_whole_value("w", F.col("t"))]
+    found = sparse.stack_blocks(df, blocks)
+    assert sorted(map(tuple, found.collect())) == [("0", "n", "n", 2.0), ("0", "o", "a", 1.0), ("0", "w", "a", 1.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "aggregate(" not in plan
