@@ -225,3 +225,29 @@ def test_no_step_of_the_machine_is_made_twice(spark, crossed, monkeypatch):
         models.fm_price(rows.limit(0))
     with pytest.raises(ValueError, match="ascend"):
         models.fm_price(rows, budgets=(3, 2))
+
+
+def test_stored_sparse_encoding_moves_no_cells(spark, planted, monkeypatch):
+    """Training rows are hashed once, and no row's cells are joined or grouped to make its vector; the vectors
+    are those of the long table."""
+    from tagwright.operators import sparse
+    from tagwright.operators.sparse_model import SparseEncoding, fit_encoding
+
+    rows, blocks = pricing.as_arrived(clean.split_low_price(planted)), pricing.linear_blocks()
+    train, new = rows.where("split = 'train'"), rows.where("split = 'test'")
+    stacked, stack_rows = [], sparse.stack_rows
+    with monkeypatch.context() as m:
+        m.setattr(sparse, "stack_rows", lambda *args: stacked.append(1) or stack_rows(*args))
+        for joins in ("indexed", "pack_vectors"):
+            m.setattr(sparse, joins, None)
+        encoding, own = fit_encoding(train, blocks, pricing.LINEAR_TOPS, extra=["price"])
+        trained = encoding.apply(own, ["price"])
+        assert len(stacked) == 1
+        path = fresh_path(spark, "sparse")
+        encoding.save(path)
+        found = SparseEncoding.load(spark, path, blocks).apply(new)
+        assert len(stacked) == 2 and found.columns == ["listing_id", "features"]
+    assert trained.columns == ["listing_id", "price", "features"] and trained.count() == train.count()
+    cells = sparse.indexed(sparse.stack_blocks(encoding.cut(new), blocks), encoding.features)
+    want = {r[0]: r["features"] for r in sparse.pack_vectors(cells, encoding.features, new).collect()}
+    assert {r[0]: r["features"] for r in found.collect()} == want and len(want) == new.count()
