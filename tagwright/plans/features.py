@@ -247,9 +247,9 @@ HASH_WORDS = (
 HASH_DESC = features_sql(gram_cells("words", 3, 1 << 27, [1.0] * 3), block="desc")
 
 
-def hashed_docs(spark: SparkSession, d: str) -> DataFrame:
+def hashed_docs(spark: SparkSession, d: str, by_row: bool = False) -> DataFrame:
     docs = fixtures.documents(spark, d).withColumn("item_description", F.lower("item_description"))
-    return sparse.stack_blocks(docs, [sparse.hash_vectorize("desc", F.col("item_description"), 3)])
+    return sparse.stack_blocks(docs, [sparse.hash_vectorize("desc", F.col("item_description"), 3)], by_row=by_row)
 
 
 @query(over("docs", OUT, words=HASH_WORDS, features=HASH_DESC))
@@ -433,7 +433,7 @@ STACKED = f"""SELECT * FROM bag
     UNION ALL SELECT listing_id, 'source', source, 1.0::DOUBLE FROM docs"""
 
 
-def document_blocks(spark: SparkSession, d: str) -> DataFrame:
+def document_blocks(spark: SparkSession, d: str, by_row: bool = False) -> DataFrame:
     table = fixtures.stored_documents(spark, d, "doc_id", "text", "lang", "source")
     docs = table.select(
         F.col("doc_id").cast("string").alias("listing_id"), F.lower("text").alias("text"), "lang", "source"
@@ -445,6 +445,7 @@ def document_blocks(spark: SparkSession, d: str) -> DataFrame:
             sparse.onehot("lang", F.col("lang")),
             sparse.onehot("source", F.col("source")),
         ],
+        by_row=by_row,
     )
 
 
@@ -480,7 +481,7 @@ def l2_norm(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    features = publish(document_blocks(spark, d), "features")
+    features = publish(document_blocks(spark, d, by_row=True), "features")
     nnz = publish(sparse.col_nnz(features), "nnz")
     return out_features(sparse.tfidf(features, nnz, fixtures.documents(spark, d)))
 
@@ -531,7 +532,7 @@ def feature_index(spark: SparkSession, d: str) -> DataFrame:
 )
 def to_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The vectors, unpacked to one row per cell (one row of nulls for an empty vector)."""
-    features = publish(document_blocks(spark, d), "features")
+    features = publish(document_blocks(spark, d, by_row=True), "features")
     index = publish(sparse.feature_index(sparse.kept_features(sparse.col_nnz(features), 2)), "index")
-    vectors = sparse.to_vectors(features, index, fixtures.documents(spark, d))
+    vectors = sparse.to_vectors(features, index, features)
     return sparse.unpacked(vectors).select("listing_id", "place", tx.rounded(F.col("value"), 6).alias("value"))
