@@ -422,7 +422,7 @@ KEPT_DOCS = """SELECT feature FROM features GROUP BY 1
     )
 )
 def df_filter(spark: SparkSession, d: str) -> DataFrame:
-    features = publish(hashed_docs(spark, d), "features")
+    features = publish(hashed_docs(spark, d, by_row=True), "features")
     nnz = sparse.col_nnz(features)
     kept = sparse.kept_features(nnz, 2, 0.5, fixtures.documents(spark, d))
     return out_features(sparse.df_filter(features, publish(kept, "kept")))
