@@ -16,6 +16,9 @@ def docs(spark):
     return publish(spark.createDataFrame(rows, "listing_id string, t string, lang string").repartition(3), "docs")
 
 
+ALONE = "listing_id not in ('7', '8')"
+
+
 def both(docs):
     blocks = [
         sparse.hash_vectorize("desc", F.col("t"), 2), sparse.onehot("lang", F.col("lang")),
@@ -42,7 +45,7 @@ def test_filter_and_weights_by_row_are_those_of_the_long_table(docs, monkeypatch
 
 
 def test_no_cell_of_a_row_is_shuffled(docs):
-    _, stacked = both(docs.where("listing_id >= '9'"))
+    _, stacked = both(docs.where(ALONE))
     nnz = publish(sparse.col_nnz(stacked), "nnz")
     for found in (sparse.tfidf(stacked, nnz, docs), sparse.df_filter(stacked, nnz)):
         plan = found._jdf.queryExecution().executedPlan().toString()
@@ -69,3 +72,27 @@ def test_fitted_counts_answer_any_bucket(spark, wide):
     assert (found.listed is None) == (wide == 300)
     nothing = packed.fitted_counts(spark.createDataFrame([], "block string, feature string, df long"), "b")
     assert nothing.of(np.array([0, 5])).tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("wide", [1, 9, 10, 11, 100, 1234, 20_005])
+def test_numbers_are_placed_in_the_order_of_their_texts(wide):
+    order = sorted(range(wide), key=str)
+    assert packed.text_rank(np.array(order), wide).tolist() == list(range(wide))
+
+
+def test_many_features_are_placed_without_a_join(spark, docs, monkeypatch):
+    """More features than are sent with their numbers: a bit each tells their place, and no cell is moved. Indices
+    in any other order are joined."""
+    long, stacked = both(docs.where(ALONE))
+    index = publish(sparse.feature_index(sparse.kept_features(sparse.col_nnz(long), 2)), "index")
+    want = {r[0]: r["features"] for r in sparse.to_vectors(long, index, docs.where(ALONE)).collect()}
+    monkeypatch.setattr(sparse, "PLACES", 0)
+    turned = index.withColumn("index", F.lit(index.count() - 1) - F.col("index"))
+    assert packed.fitted_places(turned, "desc") is None
+    assert packed.fitted_places(index.where("index % 7 <> 3"), "desc") is None
+    joined, pack = [], sparse.pack_vectors
+    monkeypatch.setattr(sparse, "pack_vectors", lambda *args: joined.append(1) or pack(*args))
+    found = sparse.to_vectors(stacked, index, stacked)
+    assert not joined and {r[0]: r["features"] for r in found.collect()} == want
+    sparse.to_vectors(stacked, turned, stacked)
+    assert joined
