@@ -251,3 +251,15 @@ def test_stored_sparse_encoding_moves_no_cells(spark, planted, monkeypatch):
     cells = sparse.indexed(sparse.stack_blocks(encoding.cut(new), blocks), encoding.features)
     want = {r[0]: r["features"] for r in sparse.pack_vectors(cells, encoding.features, new).collect()}
     assert {r[0]: r["features"] for r in found.collect()} == want and len(want) == new.count()
+
+
+def test_training_listings_of_the_stream_are_made_once(spark, monkeypatch):
+    from tagwright.plans import catalog, inputs
+
+    made, train = [], inputs.train
+    monkeypatch.setattr(inputs, "train", lambda *args: made.append(publish(train(*args), "train")) or made[-1])
+    whole = []
+    narrowed = encode.narrowed
+    monkeypatch.setattr(encode, "narrowed", lambda rows, *columns: whole.append(rows) or narrowed(rows, *columns))
+    assert catalog.QUERIES["stream_score"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 1 and whole == made  # their texts are read to be measured, and not again
